@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult, threat, target, negation, report, other. Insults are learned: whole
-words and word beginnings (of 4 letters and over) that are frequent among toxic training documents
+words and word beginnings (of 3 to 8 letters) that are frequent among toxic training documents
 and all but absent from the others form the insult transducer, next to a short list of plain ones;
 the other classes are closed lists in four languages. Five small machines read the symbols of a
 clause together (their composition is one table of states) and the state at the clause's end says
@@ -31,7 +31,7 @@ SAMPLE = 20_000
 MOST_TERMS = 20_000
 LEAST_DOCS = 6
 PURITY = 0.9
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 
@@ -89,7 +89,7 @@ class Lexicon:
         s = self.known.get(word)
         if s is None:
             kind = CLASSES.get(word)
-            if kind != "insult" and (word in self.terms or any(word[:n] + "*" in self.terms for n in PREFIXES if len(word) >= n)):
+            if kind != "insult" and (word in self.terms or any(word[:n] + "*" in self.terms for n in PREFIXES if len(word) > n)):
                 kind = "insult"
             s = SYMBOLS.index(kind or "other")
             if len(self.known) < 400_000:
@@ -116,7 +116,7 @@ class Lexicon:
 
 def terms_of(text: str) -> set[str]:
     words = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
-    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
+    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
 def sketch(text: str) -> int:
