@@ -1,6 +1,396 @@
-"""The registered queries of the documentation-corpus operators and their oracle SQL."""
+"""The registered queries of the documentation-corpus operators and their oracle SQL. The supplied
+documents hold no markdown, so it is derived from their lines, alike on both sides."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as T
+from corpusmill.operators import compile as assemble
+from corpusmill.operators import detect, flags, lines, relevance, strip, validate
+from corpusmill.plans import evidence, mirror, state
+from corpusmill.sources import discovery, html
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+QUERY = "with the thion and inger de la onthe"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def documents(spark, sf, expr: str = "text") -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("page_ord"), F.expr(expr).alias("content"))
+
+
+HEADED = r"regexp_replace(text, '\n', '\n\n## ')"
+#: Sentences become numbered items; links and chrome lines come by the id.
+LISTED = r"concat('# Title ', doc_id, '\nTitle: x\n', regexp_replace(text, '[.] ', '.\n1. '), '\n\n\n\n', CASE WHEN doc_id % 3 = 0 THEN '* one\n* two\n* three\n* four\n* five\n' ELSE '* one\n* two\n' END, '```\nOn this page\n```\n', CASE WHEN doc_id % 4 = 0 THEN 'On this page\nSkip to content\n' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN 'We use a cookie here\nLast updated today' ELSE 'a > b > c > d' END)"
+D_HEADED = "regexp_replace(text, chr(10), chr(10) || chr(10) || '## ', 'g')"
+D_LISTED = LISTED.replace("'[.] ', '.\\n1. ')", "'[.] ', '.' || chr(10) || '1. ', 'g')")
+for _a in ("concat",):
+    D_LISTED = "replace(" + D_LISTED.replace("\\n", "@@") + ", '@@', chr(10))"
+D_HEAD_SRC = f"(SELECT doc_id AS page_ord, {D_HEADED} AS content FROM documents)"
+D_LIST_SRC = f"(SELECT doc_id AS page_ord, {D_LISTED} AS content FROM documents)"
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def d_lines(src: str) -> str:
+    return f"(SELECT page_ord, pos, line, trim(line, {WS}) AS t, n_lines FROM (SELECT page_ord, len(ls) AS n_lines, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT page_ord, string_split(content, chr(10)) AS ls FROM {src})))"
+
+
+def d_words(c: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> ''))"
+
+
+def d_count(c: str, r: str) -> str:
+    return f"len(regexp_extract_all({c}, '{r}'))"
+
+
+D_TERMS = list(relevance.query_terms(QUERY).items())
+D_STOP = ", ".join(f"'{w}'" for w in relevance.STOP)
+D_BM25 = (
+    f"WITH w AS (SELECT doc_id AS page_ord, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s_-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({D_STOP})) AS ws FROM documents), "
+    f"c AS (SELECT page_ord, len(ws) AS dl, {', '.join(f'len(list_filter(ws, lambda x: x = {chr(39)}{t}{chr(39)})) AS tf{i}' for i, (t, _) in enumerate(D_TERMS))} FROM w), "
+    f"s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(D_TERMS)))} FROM c), "
+    "sc AS (SELECT page_ord, " + " + ".join(f"{k} * ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE) + 1) * tf{i} * 2.5::DOUBLE / (tf{i} + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i, (_, k) in enumerate(D_TERMS)) + " AS score FROM c, s) "
+)
+
+
+@query(D_BM25 + "SELECT page_ord, round(score, 6) AS score FROM sc ORDER BY score DESC, page_ord LIMIT 10")
+def bm25_topk(spark, sf):
+    scored = relevance.bm25_scores(documents(spark, sf), QUERY).select("page_ord", F.round("score", 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "page_ord").limit(10)
+
+
+@query(D_BM25 + "SELECT page_ord, round(score, 6) AS score FROM sc")
+def bm25_scores(spark, sf):
+    return relevance.bm25_scores(documents(spark, sf), QUERY).select("page_ord", F.round("score", 6).alias("score"))
+
+
+@query(D_BM25 + "SELECT page_ord FROM (SELECT page_ord FROM sc ORDER BY score DESC, page_ord LIMIT 30) ORDER BY page_ord")
+def bm25_prune_original_order(spark, sf):
+    return relevance.prune(documents(spark, sf), QUERY, 30).select("page_ord").orderBy("page_ord")
+
+
+@query(f"SELECT doc_id AS page_ord, CAST(floor(1.33::DOUBLE * {d_words('text')} + 0.5::DOUBLE) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return documents(spark, sf).select("page_ord", T.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query(f"SELECT min(doc_id) AS page_ord FROM documents GROUP BY md5(trim(text, {WS}))")
+def page_dedup(spark, sf):
+    return assemble.drop_duplicate_pages(documents(spark, sf)).select("page_ord")
+
+
+D_BLOCKS = f"""WITH l AS {d_lines(D_HEAD_SRC)}, b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord ORDER BY pos) AS block FROM l),
+ k AS (SELECT page_ord, block, string_agg(line, chr(10) ORDER BY pos) AS content FROM b GROUP BY ALL), h AS (SELECT *, md5(trim(content, {WS})) AS d, length(trim(content, {WS})) >= 40 AS long FROM k), f AS (SELECT *, min(CASE WHEN long THEN page_ord END) OVER (PARTITION BY d) AS first FROM h) """
+
+
+@query(D_BLOCKS + "SELECT page_ord, CAST(block AS BIGINT) AS block, md5(content) AS content_md5 FROM f WHERE NOT long OR first = page_ord")
+def block_dedup_survivors(spark, sf):
+    return assemble.surviving_blocks(documents(spark, sf, HEADED)).select("page_ord", F.col("block").cast("long").alias("block"), F.md5("content").alias("content_md5"))
+
+
+@query(D_BLOCKS + "SELECT page_ord, count(*) AS blocks, CAST(count(*) FILTER (long AND first <> page_ord) AS BIGINT) AS removed FROM f GROUP BY page_ord")
+def block_dedup_stats(spark, sf):
+    pages = documents(spark, sf, HEADED)
+    kept = assemble.surviving_blocks(pages).groupBy("page_ord").agg(F.count(F.lit(1)).alias("kept"))
+    return assemble.blocks(pages).groupBy("page_ord").agg(F.count(F.lit(1)).alias("blocks")).join(kept, "page_ord", "left").select("page_ord", "blocks", (F.col("blocks") - F.coalesce("kept", F.lit(0))).alias("removed"))
+
+
+@query(f"SELECT page_ord, regexp_replace(content, '(^|\\n)## ', '\\1### ', 'g') AS content, CAST({d_count('content', '(?m)^## *[^ \\n]')} AS BIGINT) AS changed FROM {D_HEAD_SRC}")
+def heading_shift(spark, sf):
+    return assemble.shift_headings(documents(spark, sf, HEADED))
+
+
+@query(f"SELECT page_id, pos, href FROM (SELECT page_id, unnest(hs) AS href, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']+)[\"'']', 1) AS hs FROM pages)) WHERE NOT regexp_matches(href, '^(#|mailto:|javascript:)')")
+def extract_links(spark, sf):
+    return discovery.extract_links(table(spark, sf, "pages"), "page_id")
+
+
+D_LANG = ", ".join(f"'{x}'" for x in discovery.LANGUAGES)
+
+
+@query(f"SELECT page_id AS url_ord, url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages) WHERE len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: lower(s) IN ({D_LANG}))) = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
+def lang_path_filter(spark, sf):
+    made = table(spark, sf, "pages").select(F.col("page_id").alias("url_ord"), F.regexp_replace("url", "#.*$", "").alias("url"))
+    segments = F.split(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), "/")
+    kept = made.filter(~F.exists(segments, lambda s: F.lower(s).isin(discovery.LANGUAGES)))
+    return kept.groupBy("url").agg(F.min("url_ord").alias("url_ord")).select("url_ord", "url")
+
+
+@query(f"WITH u AS (SELECT page_id, 'https://docs.example.com' || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS url FROM pages) SELECT min(page_id) AS url_ord, url FROM u WHERE len(list_filter(string_split(url, '/'), lambda s: lower(s) IN ({D_LANG}))) = 0 GROUP BY url ORDER BY url_ord LIMIT 50")
+def filter_urls(spark, sf):
+    urls = table(spark, sf, "pages").select(F.col("page_id").alias("url_ord"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("url"))
+    return discovery.filter_urls(urls, "https://docs.example.com", most=50)
+
+
+@query("SELECT page_id AS page_ord, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS slug FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) AS k FROM (SELECT page_id, CASE WHEN s = '' THEN 'index' ELSE s END AS name FROM (SELECT page_id, trim(replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/', '_'), '_') AS s FROM pages)))")
+def url_slug_collisions(spark, sf):
+    return discovery.page_slugs(table(spark, sf, "pages").select(F.col("page_id").alias("page_ord"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path")))
+
+
+D_LINKED = "concat('- [a](https://x.io/1)', chr(10), CASE WHEN doc_id % 2 = 0 THEN '* [b](https://x.io/2)' || chr(10) || '* [c](u)' || chr(10) ELSE '' END, split_part(text, chr(10), 1), chr(10), chr(10), 'plain')"
+
+
+@query(f"SELECT page_ord, round(len(list_filter(ls, lambda x: regexp_matches(x, '^[-*]\\s+\\[[^\\]]*\\]\\([^)]*\\)'))) / len(ls)::DOUBLE, 9) AS ratio FROM (SELECT doc_id AS page_ord, list_filter(list_transform(string_split({D_LINKED}, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') AS ls FROM documents)")
+def link_index_ratio(spark, sf):
+    return documents(spark, sf, D_LINKED.replace("chr(10)", "'\\n'")).select("page_ord", F.round(T.link_ratio(F.col("content")), 9).alias("ratio"))
+
+
+@query(f"SELECT page_ord, regexp_matches(content, '\\A\\s*#') OR {d_count('content', '(?m)^#{2,6}\\s')} >= 2 AS body_markdown, (CAST(regexp_matches(content, '(?m)^#{{1,6}}\\s') AS INT) + CAST(regexp_matches(content, '\\[[^\\]]+\\]\\([^)]+\\)') AS INT) + CAST(regexp_matches(content, '(?m)^[-*]\\s') AS INT) + CAST(contains(content, '```') AS INT) + CAST(regexp_matches(content, '(?m)^\\|.*\\|') AS INT)) >= 2 AS listing_markdown FROM (SELECT * FROM {D_HEAD_SRC} WHERE page_ord % 2 = 0 UNION ALL SELECT * FROM {D_LIST_SRC} WHERE page_ord % 2 = 1)")
+def looks_like_markdown(spark, sf):
+    mixed = documents(spark, sf, f"CASE WHEN doc_id % 2 = 0 THEN {HEADED} ELSE {LISTED} END")
+    return mixed.select("page_ord", T.body_markdown(F.col("content")).alias("body_markdown"), T.discovery_markdown(F.col("content")).alias("listing_markdown"))
+
+
+D_404 = "CASE doc_id % 5 WHEN 0 THEN '# 404' || chr(10) || text WHEN 1 THEN '# Page not found' || chr(10) || text WHEN 2 THEN '<title>Error 404</title>' || text WHEN 3 THEN 'It does not exist ' || text ELSE text END"
+
+
+@query(f"SELECT page_ord, regexp_matches(h, '(?im)^#\\s*404\\b') OR regexp_matches(h, '(?im)^#\\s*page\\s*not\\s*found') OR regexp_matches(h, '(?im)^<title>[^\\n]*404[^\\n]*</title>') OR (len(regexp_split_to_array(h, '\\s+')) < 50 AND regexp_matches(h, '(?i)not\\s*found|does\\s*not\\s*exist')) AS gone FROM (SELECT doc_id AS page_ord, substring({D_404}, 1, 2000) AS h FROM documents)")
+def soft_404(spark, sf):
+    return documents(spark, sf, D_404.replace("chr(10)", "'\\n'")).select("page_ord", T.soft_404(F.col("content")).alias("gone"))
+
+
+D_ARTICLE = f"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), {WS})"
+
+
+@query(f"SELECT page_id, CAST(length(a) AS BIGINT) AS n_text, length(a) >= 300 AS long_enough, md5(a) AS text_md5 FROM (SELECT page_id, {D_ARTICLE} AS a FROM pages)")
+def html_article_text(spark, sf):
+    body = F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), "<[^>]*>", " ")
+    made = table(spark, sf, "pages").select("page_id", T.collapse(body).alias("a"))
+    return made.select("page_id", F.length("a").cast("long").alias("n_text"), (F.length("a") >= html.MIN_TEXT).alias("long_enough"), F.md5("a").alias("text_md5"))
+
+
+@query()
+def html_to_markdown(spark, sf):
+    return html.html_to_markdown(table(spark, sf, "pages"))
+
+
+@query()
+def strip_generic(spark, sf):
+    return strip.strip_pages(documents(spark, sf, LISTED))
+
+
+def _strip_platform(name: str):
+    def f(spark, sf):
+        return strip.strip_pages(documents(spark, sf, LISTED), name)
+
+    f.__name__ = f"strip_{name}"
+    query()(f)
+
+
+for _name in ("gitbook", "docusaurus", "readthedocs", "mintlify", "mkdocs"):
+    _strip_platform(_name)
+
+D_ISLANDS = "WITH l AS {src}, h AS (SELECT *, {hit} AS hit FROM l), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY page_ord ORDER BY pos) AS island FROM h), r AS (SELECT *, CASE WHEN hit THEN sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord, island) ELSE 0 END AS run FROM i) "
+D_NAV = "(regexp_matches(t, '^\\[.+\\]\\(.+\\)$') OR regexp_matches(t, '^[*+-]\\s+\\[.+\\]\\(.+\\)$') OR (regexp_matches(t, '^[*+-]\\s+\\S+$') AND NOT contains(t, '.') AND length(t) < 60))"
+D_NUM = "(regexp_matches(t, '^\\d+\\.\\s+\\[') OR (regexp_matches(t, '^\\d+\\.\\s+\\S') AND length(t) < 80))"
+D_KEPT = "SELECT page_ord, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS pos_sum FROM r WHERE {c} GROUP BY page_ord"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.groupBy("page_ord").agg(F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("pos_sum"))
+
+
+@query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit=D_NAV) + D_KEPT.format(c="run < 5"))
+def nav_runs(spark, sf):
+    return _kept(lines.drop_nav_runs(lines.to_lines(documents(spark, sf, LISTED))))
+
+
+@query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit=D_NUM) + D_KEPT.format(c="run < 2"))
+def numbered_runs(spark, sf):
+    return _kept(lines.drop_numbered_runs(lines.to_lines(documents(spark, sf, LISTED))))
+
+
+@query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit="t = ''") + ", q AS (SELECT *, row_number() OVER (PARTITION BY page_ord, island, hit ORDER BY pos) AS k FROM r) " + D_KEPT.format(c="NOT hit OR k <= 2").replace("FROM r", "FROM q"))
+def blank_collapse(spark, sf):
+    return _kept(lines.collapse_blanks(lines.to_lines(documents(spark, sf, LISTED))))
+
+
+@query(f"WITH r AS {d_lines(D_LIST_SRC)} " + D_KEPT.format(c=f"{d_count('line', ' > ')} < 3 AND NOT regexp_matches(t, '(?i)^(#{{1,6}}\\s+)?on this page\\b|skip to (main )?content|^\\[back to top\\]|^back to top$|^\\[edit this page\\]|^copy markdown$') AND NOT regexp_matches(line, '(?i)cookie|accept all|privacy policy|\\bconsent\\b')"))
+def chrome_lines(spark, sf):
+    return _kept(lines.drop_consent(lines.drop_labels(lines.drop_breadcrumbs(lines.to_lines(documents(spark, sf, LISTED))))))
+
+
+D_FENCED = f"WITH l AS {d_lines(D_LIST_SRC)}, f AS (SELECT *, coalesce(sum(CASE WHEN starts_with(t, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_code FROM l) "
+
+
+@query(D_FENCED + "SELECT page_ord, count(*) FILTER (in_code) AS code_lines FROM f GROUP BY page_ord")
+def fence_parity(spark, sf):
+    return lines.with_fences(lines.to_lines(documents(spark, sf, LISTED))).groupBy("page_ord").agg(F.count_if("in_code").alias("code_lines"))
+
+
+D_FLAGS = D_FENCED + """, b AS (SELECT *, regexp_matches(t, '^\\d+\\.\\s+\\[') AND length(t) < 100 AND NOT in_code AS listed FROM f), c AS (SELECT *, sum(CASE WHEN NOT listed AND t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord ORDER BY pos) AS cut FROM b), d AS (SELECT *, sum(CASE WHEN listed THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord, cut) AS run FROM c),
+ g AS (SELECT page_ord, bool_or(NOT in_code AND regexp_matches(t, '(?i)^on this page')) AS otp, bool_or(run >= 3) AS bc, bool_or(NOT in_code AND pos >= n_lines // 2 AND regexp_matches(t, '(?i)^last (modified|updated)')) AS footer, bool_or(NOT in_code AND regexp_matches(t, '(?i)^Title:') AND NOT starts_with(line, '  ')) AS jina, bool_or(NOT in_code AND regexp_matches(t, '(?i)skip to (main )?content')) AS skip, bool_or(NOT in_code AND regexp_matches(line, '(?i)\\bcookie\\b') AND length(t) < 120) AS cookie FROM d GROUP BY page_ord),
+ x AS (SELECT page_ord, list_filter(['', CASE WHEN otp THEN 'OTP' END, CASE WHEN bc THEN 'BC' END, CASE WHEN footer THEN 'FOOTER' END, CASE WHEN jina THEN 'JINA' END, CASE WHEN skip THEN 'SKIP' END, CASE WHEN cookie THEN 'COOKIE' END], lambda v: v <> '') AS flags FROM g) """
+
+
+@query(D_FLAGS + "SELECT page_ord, array_to_string(flags, ',') AS flags FROM x")
+def flags_per_page(spark, sf):
+    return flags.page_flags(documents(spark, sf, LISTED)).select("page_ord", F.array_join("flags", ",").alias("flags"))
+
+
+@query(D_FLAGS + "SELECT count(*) AS ok, count(*) FILTER (len(flags) = 0) AS clean, floor(count(*) FILTER (len(flags) = 0) * 1000::DOUBLE / count(*) + 0.5::DOUBLE) / 10::DOUBLE AS clean_percent FROM x")
+def quality_summary(spark, sf):
+    found = flags.page_flags(documents(spark, sf, LISTED)).withColumn("status", F.lit("ok"))
+    return state.quality_summary(found)
+
+
+@query(D_FLAGS + "SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM x) GROUP BY flag")
+def flag_counts(spark, sf):
+    return state.flag_counts(flags.page_flags(documents(spark, sf, LISTED)).withColumn("status", F.lit("ok")))
+
+
+D_FP = " + ".join(f"CAST(contains(content, '{f}') AS BIGINT)" for f in validate.FINGERPRINTS)
+
+
+@query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit="regexp_matches(t, '^\\[.*\\]\\(.*\\)$')") + f", m AS (SELECT page_ord, max(run) AS longest FROM r GROUP BY page_ord), z AS (SELECT page_ord, CAST({D_FP} + CAST(regexp_matches(content, '([^\\n]+ > ){{2,}}[^\\n]+') AS BIGINT) + CAST(longest > 5 AS BIGINT) AS BIGINT) AS noise_hits FROM {D_LIST_SRC} JOIN m USING (page_ord)) SELECT page_ord, noise_hits, noise_hits > 3 AS flagged FROM z")
+def cleanliness(spark, sf):
+    return validate.cleanliness(documents(spark, sf, LISTED))
+
+
+D_CLEANED = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN text ELSE substring(text, 1, 200) END"
+
+
+@query(f"WITH p AS (SELECT doc_id AS page_ord, {d_words(D_HEADED)} AS b, {d_words(D_CLEANED)} AS a, list_transform(regexp_extract_all({D_HEADED}, '(?m)^#{{2,3}}[ \\t]+([^\\n]+)', 1), lambda h: trim(h, {WS})) AS rh FROM documents WHERE {D_CLEANED} <> '') SELECT page_ord, CAST(b AS BIGINT) AS words_before, CAST(a AS BIGINT) AS words_after, CASE WHEN b = 0 THEN 100::DOUBLE ELSE floor(a * 100::DOUBLE / b * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE END AS retention_percent, CAST(len(rh) AS BIGINT) AS missing FROM p")
+def fidelity(spark, sf):
+    found = validate.fidelity(documents(spark, sf, HEADED), documents(spark, sf, D_CLEANED))
+    return found.select("page_ord", "words_before", "words_after", "retention_percent", F.size("missing_headings").cast("long").alias("missing"))
+
+
+D_RESULTS = "(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN page_id % 10 = 0 THEN 'HTTP 500' END AS error FROM pages WHERE page_id % 11 <> 0)"
+
+
+def _results(spark, sf) -> DataFrame:
+    p = table(spark, sf, "pages").filter("page_id % 11 <> 0")
+    return p.selectExpr("page_id", "url", "CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status", "CASE WHEN page_id % 10 = 0 THEN 'HTTP 500' END AS error")
+
+
+@query(f"SELECT p.url, CASE WHEN r.url IS NULL THEN 'not attempted' ELSE coalesce(r.error, 'Unknown error') END AS reason FROM pages p LEFT JOIN {D_RESULTS} r USING (url) WHERE r.status IS DISTINCT FROM 'ok'")
+def coverage_gaps(spark, sf):
+    return validate.coverage_gaps(table(spark, sf, "pages").select("url"), _results(spark, sf))
+
+
+@query(f"SELECT (SELECT count(DISTINCT url) FROM pages) AS discovered, count(DISTINCT url) AS fetched, floor(count(DISTINCT url) * 100::DOUBLE / (SELECT count(DISTINCT url) FROM pages) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS percent FROM {D_RESULTS} WHERE status = 'ok'")
+def coverage(spark, sf):
+    return validate.coverage(table(spark, sf, "pages"), _results(spark, sf))
+
+
+@query(f"SELECT coalesce(error, 'Unknown error') AS reason, count(*) AS n FROM {D_RESULTS} WHERE status <> 'ok' GROUP BY 1")
+def exclusion_summary(spark, sf):
+    return state.exclusions(_results(spark, sf))
+
+
+@query(f"SELECT page_id, url, 'ok' AS status, NULL::VARCHAR AS error FROM {D_RESULTS} WHERE status <> 'ok' UNION ALL SELECT * FROM {D_RESULTS} WHERE status = 'ok'")
+def resume_upsert(spark, sf):
+    done, pending = state.resume_state(_results(spark, sf))
+    again = pending.select("page_id", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+    return state.upsert(done.unionByName(pending), again).select("page_id", "url", "status", "error")
+
+
+@query(f"SELECT status, count(*) AS n, 0::BIGINT AS flagged, floor(count(*) * 100::DOUBLE / sum(count(*)) OVER () * 10::DOUBLE + 0.5::DOUBLE) / 10::DOUBLE AS percent FROM {D_RESULTS} GROUP BY status")
+def inspect_run(spark, sf):
+    return mirror.inspect(_results(spark, sf).withColumn("flags", F.array().cast("array<string>")))
+
+
+D_OUT = "CASE WHEN doc_id % 4 = 0 THEN 'Please provide the documentation' || chr(10) || text WHEN doc_id % 4 = 1 THEN text || ' more words ' || substring(text, 1, 100) ELSE substring(text, 1, 300) END"
+
+
+@query(f"WITH p AS (SELECT doc_id AS page_ord, text AS a, {D_OUT} AS b FROM documents), c AS (SELECT *, {d_words('a')} AS wa, {d_words('b')} AS wb FROM p) SELECT page_ord, wb <= 1.05::DOUBLE * wa AND NOT regexp_matches(array_to_string(string_split(b, chr(10))[1:3], chr(10)), '(?i)Please provide the documentation') AS passed, CASE WHEN wa = 0 THEN 0::DOUBLE ELSE floor((wa - wb) * 100::DOUBLE / wa * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE END AS reduction_percent FROM c")
+def condense_validate(spark, sf):
+    pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_ord"), F.col("text").alias("source"), F.expr(D_OUT.replace("chr(10)", "'\\n'")).alias("output"))
+    return validate.compressed(pairs)
+
+
+@query("SELECT DISTINCT CAST(floor(i * n / least(25, n)) AS BIGINT) AS page_ord FROM (SELECT max(doc_id) + 1 AS n FROM documents), range(0, 25) t(i)")
+def even_sample(spark, sf):
+    return evidence.even_sample(documents(spark, sf), 25).select("page_ord")
+
+
+D_SIG = f"CASE WHEN doc_id % 3 = 0 THEN text || ' Built with Docusaurus' WHEN doc_id % 3 = 1 THEN text || ' edit this page' ELSE text || ' mkdocs' END"
+D_PICK = "WITH n AS (SELECT max(doc_id) + 1 AS n FROM documents), s AS (SELECT unnest(list_distinct([0, n - 1] || list_transform(range(0, 11), lambda i: least(i * greatest(1, n // 10), n - 1)))) AS d FROM n), p AS (SELECT d FROM (SELECT 0 AS d, 0 AS o UNION SELECT n - 1, 1 FROM n UNION SELECT i * (n // 10), i + 2 FROM n, range(1, 9) t(i))) "
+
+
+@query(D_PICK + "SELECT CAST(d AS BIGINT) AS page_ord FROM p JOIN documents ON doc_id = d")
+def representative_sample(spark, sf):
+    return detect.sample(documents(spark, sf)).select("page_ord")
+
+
+def _sig_struct(i: int, name: str, sigs) -> str:
+    return f"SELECT {i} AS ord, '{name}' AS platform, CAST({3 if name == 'docusaurus' else 0} + 2 * ({' + '.join(f'''count(*) FILTER (contains(lower(c), '{s}'))''' for s in sigs)}) AS BIGINT) AS score FROM x"
+
+
+@query(D_PICK + f", x AS (SELECT {D_SIG} AS c FROM documents JOIN p ON doc_id = d) " + " UNION ALL ".join(_sig_struct(i, n, s) for i, (n, _, s) in enumerate(detect.PLATFORMS)))
+def platform_scores(spark, sf):
+    return detect.scores(documents(spark, sf, D_SIG), "https://example.com/docs/intro").select("ord", "platform", "score")
+
+
+@query(D_PICK + f", x AS (SELECT {D_SIG} AS c FROM documents JOIN p ON doc_id = d), y AS (" + " UNION ALL ".join(_sig_struct(i, n, s) for i, (n, _, s) in enumerate(detect.PLATFORMS)) + "), n2 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {len(s)})" for i, (_, _, s) in enumerate(detect.PLATFORMS)) + ") v(ord, k)) SELECT CASE WHEN c >= 0.3 THEN platform ELSE 'generic' END AS platform, floor(c * 100 + 0.5::DOUBLE) / 100::DOUBLE AS confidence FROM (SELECT platform, least(score::DOUBLE / (3 + 4 * k), 1::DOUBLE) AS c FROM y JOIN n2 USING (ord) ORDER BY score DESC, ord LIMIT 1)")
+def platform_detect(spark, sf):
+    return detect.detect_platform(documents(spark, sf, D_SIG), "https://example.com/docs/intro")
+
+
+#: Patterns of an invented question key over the benchmark's texts.
+KEY = (("q0", ("the", "and")), ("q1", ("\\bde\\b",)), ("q2", ("th[ae]n?", "xyzzy")))
+
+
+def _answers(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").selectExpr("concat('arm', item_id % 3) AS arm", "concat('q', item_id % 4) AS question_id", "item_id", "text AS answer", "CASE WHEN item_id % 17 = 0 THEN 'timeout' END AS error", "CAST(item_id % 13 AS DOUBLE) AS cost", "CAST(length(text) AS BIGINT) AS duration_ms")
+
+
+def _graded(spark, sf) -> DataFrame:
+    key = spark.createDataFrame([(i, list(p)) for i, p in KEY], "id string, all_of array<string>")
+    return evidence.grade(_answers(spark, sf), key)
+
+
+D_GRADED = "WITH g AS (SELECT 'arm' || (item_id % 3) AS arm, 'q' || (item_id % 4) AS question_id, item_id, item_id % 17 <> 0 AND CASE item_id % 4 WHEN 0 THEN regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)and') WHEN 1 THEN regexp_matches(text, '(?i)\\bde\\b') WHEN 2 THEN regexp_matches(text, '(?i)th[ae]n?') AND regexp_matches(text, '(?i)xyzzy') ELSE false END AS passed, CASE WHEN item_id % 17 = 0 THEN 'timeout' END AS error, (item_id % 13)::DOUBLE AS cost, length(text) AS duration_ms FROM benchmark) "
+
+
+@query(D_GRADED + "SELECT item_id, arm, question_id, passed FROM g")
+def grade_answers(spark, sf):
+    return _graded(spark, sf).select("item_id", "arm", "question_id", "passed")
+
+
+@query(D_GRADED + "SELECT arm, count(*) AS n, count(*) FILTER (passed) AS passed, floor(count(*) FILTER (passed) / count(*)::DOUBLE * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS accuracy, count(error) AS errors, sum(cost) AS total_cost, median(cost) AS median_cost, CAST(sum(duration_ms) AS BIGINT) AS total_ms, median(duration_ms)::DOUBLE AS median_ms FROM g GROUP BY arm")
+def arm_summary(spark, sf):
+    return evidence.arm_summary(_graded(spark, sf))
+
+
+@query(f"WITH s AS (SELECT regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) AS source, octet_length(encode(html)) AS h, octet_length(encode({D_ARTICLE})) AS c FROM pages), m AS (SELECT source, count(*) AS pages, avg(h) AS html, avg(c) AS clean FROM s GROUP BY source) SELECT source, pages, floor(html + 0.5::DOUBLE) AS mean_html, floor(clean + 0.5::DOUBLE) AS mean_clean, floor(html / clean * 10::DOUBLE + 0.5::DOUBLE) / 10::DOUBLE AS ratio FROM m")
+def front_door_ratio(spark, sf):
+    body = T.collapse(F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), "<[^>]*>", " "))
+    sizes = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://[^/?#]+/([^/?#]*)", 1).alias("source"), F.octet_length("html").alias("html_bytes"), F.octet_length(body).alias("clean_bytes"))
+    return evidence.front_door(sizes)
+
+
+def _site(spark, sf) -> DataFrame:
+    made = html.html_to_markdown(table(spark, sf, "pages")).filter("markdown is not null")
+    urls = table(spark, sf, "pages").select("page_id", "url", F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path"))
+    slugs = discovery.page_slugs(urls.select(F.col("page_id").alias("page_ord"), "path"))
+    return made.join(urls, "page_id").select(F.col("page_id").alias("page_ord"), "url", F.col("markdown").alias("content")).join(slugs, "page_ord")
+
+
+@query()
+def corpus_assemble(spark, sf):
+    return mirror.mirror(_site(spark, sf), mirror.RunConfig("https://example.com/docs", top=0)).compiled
+
+
+@query("WITH p AS (SELECT page_id AS page_ord, regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) AS segment, 'Page ' || page_id AS title FROM pages), g AS (SELECT *, min(page_ord) OVER (PARTITION BY segment) AS f, count(*) OVER (PARTITION BY segment) AS k FROM p) SELECT row_number() OVER (ORDER BY f, page_ord) AS number, page_ord, segment, title, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS anchor, k > 1 AND (SELECT count(DISTINCT segment) FROM p) > 1 AS nested FROM g")
+def grouped_contents(spark, sf):
+    return assemble.contents(table(spark, sf, "pages").select(F.col("page_id").alias("page_ord"), F.regexp_extract("url", "^https?://[^/?#]+/([^/?#]*)", 1).alias("segment"), F.concat(F.lit("Page "), F.col("page_id")).alias("title")))

@@ -1,0 +1,2 @@
+"""The corpus operators are batch: a run is resumed by an upsert (plans.state.upsert), and there is
+no unbounded input. Nothing is defined here on purpose."""
