@@ -1,7 +1,8 @@
 """WARC derivative builder: response records become a linked metadata record and a plain-text
 conversion record each, which refer to the response's id and keep its date, target and digests.
 
-Record ids are name-based (from target, date and payload digest), so a task that is run again
+Record ids are name-based (from target, date and payload digest): captures that agree in these
+share their id, and a task that is run again
 writes the same records. Reading and writing of files is per record, in member-wise gzip, so that
 a file can be cut at any record. A response whose payload is not HTML keeps its metadata record and
 has no conversion. Null payloads are empty; null or empty targets are kept as empty headers."""
