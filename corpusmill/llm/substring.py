@@ -8,10 +8,13 @@ each text that contains it, under each hash function.
 
 Windows are grouped by what surrounds the centre: 29 words ending, or beginning, with the token
 at the centre (a passage of 50 words covers one of the two). A group is never paired up: each
-window is tied to the group's first document. Tied windows whose intervals can hold a passage
-together give alignments (two documents and a shift), whose words are then compared over the whole
-texts; runs that a substitution or a small gap separates are chained. Exact repeats of 50 words
-and over are always found; near repeats are found where 29 words around some centre are intact.
+window is tied to the group's first document. The first document may hold less of a passage than
+later ones share, so windows whose surroundings (all passages of 50 words that hold the 29) differ
+from the first's are grouped once more by each of these passages, and tied to the first document
+that holds the passage. Tied windows whose intervals can hold a passage together give alignments
+(two documents and a shift), whose words are then compared over the whole texts; runs that a
+substitution or a small gap separates are chained. Exact repeats of 50 words and over are always
+found; near repeats are found where 29 words around some centre are intact.
 
 Null texts are empty; texts below 50 words have no window. Repeats within one document do not
 count. Rows that repeat an id and its text
@@ -33,6 +36,8 @@ GRAM = 8
 PASSAGE = 50
 WINDOW = PASSAGE - GRAM + 1
 CONTEXT = 29
+#: Words on each side of a context that a passage around it may reach.
+REST = PASSAGE - CONTEXT
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BASE = np.uint64(0x5851F42D4C957F2D)
 INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -116,7 +121,8 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
 
 
 def _anchors(h: np.ndarray, powers: _Powers) -> tuple[np.ndarray, ...]:
-    """(group key, centre, room to the left, room to the right) of each window and side."""
+    """(group key, hash of the surroundings, context's start, room to the left, room to the right)
+    of each window and side."""
     n = len(h)
     up, down = powers.upto(n + 1)
     prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)])
@@ -129,26 +135,29 @@ def _anchors(h: np.ndarray, powers: _Powers) -> tuple[np.ndarray, ...]:
         ok = (start >= 0) & (start + CONTEXT <= n)
         s = start[ok]
         key = _mixed((prefix[s + CONTEXT] - prefix[s]) * down[s], 1 if start is centres else 2)
-        out.append((key.view(np.int64), centres[ok], (centres - lefts)[ok], (rights - centres)[ok]))
+        lo, hi = np.maximum(s - REST, 0), np.minimum(s + PASSAGE, n)
+        around = _mixed((prefix[hi] - prefix[lo]) * down[lo] + ((s - lo) << 8 | (hi - s)).astype(np.uint64), 3)
+        out.append((key.view(np.int64), around.view(np.int64), s, (centres - lefts)[ok], (rights - centres)[ok]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache, powers = _WordHashes(), _Powers()
     for batch in batches:
-        ids, keys, marks = [], [], []
+        ids, keys, arounds, marks = [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if doc_id is None or len(text) < 2 * PASSAGE - 1:
                 continue
             h = word_hashes(text, cache)
             if len(h) < PASSAGE:
                 continue
-            key, centre, left, right = _anchors(h, powers)
+            key, around, start, left, right = _anchors(h, powers)
             ids.append(np.full(len(key), doc_id, dtype=np.int64))
             keys.append(key)
-            marks.append(centre << 28 | np.minimum(left, 16383) << 14 | np.minimum(right, 16383))
+            arounds.append(around)
+            marks.append(start << 28 | np.minimum(left, 16383) << 14 | np.minimum(right, 16383))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, marks)], names=["key", "doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, arounds, marks)], names=["key", "doc_id", "around", "mark"])
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +167,27 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "hashes"])
 
 
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of PASSAGE words that hold one of the contexts."""
+    powers = _Powers()
+    for batch in batches:
+        ids, grams, places = [], [], []
+        for doc_id, starts, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            h = np.frombuffer(hashes, dtype=np.uint32).astype(np.uint64)
+            up, down = powers.upto(len(h) + 1)
+            prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(h, 4) * up[: len(h)], dtype=np.uint64)])
+            s = np.array(starts, dtype=np.int64)
+            edge = np.zeros(len(h) + 2, dtype=np.int64)
+            np.add.at(edge, np.maximum(s - REST, 0), 1)
+            np.add.at(edge, s + 1, -1)
+            at = np.flatnonzero(np.cumsum(edge)[: len(h) - PASSAGE + 1])
+            ids.append(np.full(len(at), doc_id, dtype=np.int64))
+            grams.append(_mixed((prefix[at + PASSAGE] - prefix[at]) * down[at], 5).view(np.int64))
+            places.append(at)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, ids, places)], names=["gram", "doc_id", "at"])
+
+
 def _runs(equal: np.ndarray) -> list[tuple[int, int]]:
     """[start, end) of the runs of at least RUN true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
@@ -208,18 +238,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Passages [start_word, end_word) of doc_id that partner_doc_id, a smaller id, holds too. Each
     later holder of a passage is tied to an earlier one, so the least holder alone has no row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    windows = map_batches(texts, _window_rows, "key long, doc_id long, mark long")
+    windows = materialize(map_batches(texts, _window_rows, "key long, doc_id long, around long, mark long"), "passage-windows")
     # of the least document's windows the widest stands for it
     width = (F.shiftright("mark", 14).bitwiseAND(F.lit(16383)) + F.col("mark").bitwiseAND(F.lit(16383))).alias("width")
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", (-width).alias("narrow"), "mark")).alias("first"), F.max("doc_id").alias("last"))
-    first = materialize(first.filter("first.doc_id < last").select("key", "first.doc_id", "first.mark"), "passage-groups").withColumnsRenamed({"doc_id": "other", "mark": "other_mark"})
-    tied = windows.join(first.hint("shuffle_hash"), "key").filter("doc_id <> other")
-    centre, left, right = (lambda m: F.shiftright(m, 28)), (lambda m: F.shiftright(m, 14).bitwiseAND(F.lit(16383))), (lambda m: F.col(m).bitwiseAND(F.lit(16383)))
+    least = F.min(F.struct("doc_id", (-width).alias("narrow"), "mark", "around")).alias("first")
+    first = windows.groupBy("key").agg(least, F.max("doc_id").alias("last"), (F.min("around") < F.max("around")).alias("mixed"))
+    first = first.filter("first.doc_id < last").select("key", F.col("first.doc_id").alias("other"), F.col("first.mark").alias("other_mark"), F.col("first.around").alias("other_around"), "mixed")
+    start, left, right = (lambda m: F.shiftright(m, 28)), (lambda m: F.shiftright(m, 14).bitwiseAND(F.lit(16383))), (lambda m: F.col(m).bitwiseAND(F.lit(16383)))
     reach = F.least(left("mark"), left("other_mark")) + F.least(right("mark"), right("other_mark")) + 1
-    aligned = tied.filter(reach >= WINDOW).select("doc_id", "other", (centre("other_mark") - centre("mark")).alias("shift"))
-    pairs = materialize(aligned.groupBy("doc_id", "other").agg(F.collect_set("shift").alias("shifts")), "passage-pairs")
-    needed = pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
+    apart = F.col("mixed") & ((F.col("around") != F.col("other_around")) | (F.col("doc_id") == F.col("other")))
+    tied = windows.join(materialize(first, "passage-groups").hint("shuffle_hash"), "key")
+    tied = tied.select("doc_id", "other", start("mark").alias("start"), (start("other_mark") - start("mark")).alias("shift"), ((reach >= WINDOW) & (F.col("doc_id") != F.col("other"))).alias("aligned"), apart.alias("apart"))
+    tied = materialize(tied.filter("aligned OR apart"), "passage-ties")
+    aligned = tied.filter("aligned").select("doc_id", "other", "shift")
+    needed = tied.select("doc_id").unionByName(aligned.select(F.col("other").alias("doc_id"))).distinct()
     hashed = materialize(map_batches(texts.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), _hash_rows, "doc_id long, hashes binary"), "passage-words")
+    contexts = tied.filter("apart").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    grams = materialize(map_batches(hashed.join(contexts, "doc_id").select("doc_id", "starts", "hashes"), _gram_rows, "gram long, doc_id long, at long"), "passage-grams")
+    holder = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
+    held = grams.join(holder.select("gram", F.col("first.doc_id").alias("other"), F.col("first.at").alias("other_at")).hint("shuffle_hash"), "gram").filter("doc_id <> other")
+    aligned = aligned.unionByName(held.select("doc_id", "other", (F.col("other_at") - F.col("at")).alias("shift")))
+    pairs = materialize(aligned.groupBy("doc_id", "other").agg(F.collect_set("shift").alias("shifts")), "passage-pairs")
     met = pairs.join(hashed, "doc_id").join(hashed.withColumnsRenamed({"doc_id": "other", "hashes": "other_hashes"}), "other").select("doc_id", "other", "shifts", "hashes", "other_hashes")
     return map_batches(met, _verify, SPAN_SCHEMA)
 

@@ -107,6 +107,28 @@ def test_repeated_passages_are_covered_and_cut(docs, none):
     assert substring.repeated_passages(none).count() == 0 and substring.without_repeats(none).count() == 0
 
 
+def test_passages_are_found_where_the_least_document_holds_part(spark):
+    texts = []
+    for k in range(40):
+        r = random.Random(400 + k)
+        shared, part, at = prose(50 + k % 3 * 5, 200 + k).split(), 29 + r.randrange(21), 0
+        at = r.randrange(len(shared) - part + 1)
+        least = [*prose(60, 300 + k).split(), *shared[at : at + part], *prose(60, 500 + k).split()]
+        if k % 4 == 0:  # the least document has the part twice
+            least += [*shared[at : at + part], *prose(80, 600 + k).split()]
+        later = [[*prose(70, 700 + 10 * k + j).split(), *shared, *prose(70, 900 + 10 * k + j).split()] for j in range(2)]
+        texts += [" ".join(w) for w in (least, *later)]
+    spans = {}
+    for r in substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        spans.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    first = {}
+    for i, t in enumerate(texts):
+        w = substring.words_of(t)
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) != i:
+                assert spans.get(i, set()) >= set(range(k, k + 50)), (i, k)
+
+
 def test_compact_windows_equal_brute_force():
     r = np.random.default_rng(0)
     for n, width in ((60, 7), (40, 40), (5, 9), (50, 1)):
