@@ -5,8 +5,9 @@ increasing subsequence of these anchors is kept, and the gaps between them are a
 way, until no anchor is left; equal words next to anchors are then taken greedily. The aligned
 template words make the coverage.
 
-The whole text is scanned: wherever a template's rare words lie close enough together to hold
-the template, the stretch there is aligned; a notice given twice is found twice, since each stretch
+The whole text is scanned for seeds, as many of a template's rarest words as any stretch of the
+least coverage must hold one of; the stretch around a seed is aligned if it has enough of the
+template's words; a notice given twice is found twice, since each stretch
 is aligned on its own. Null or empty texts have no licence; templates are a parameter."""
 
 from __future__ import annotations
@@ -94,19 +95,26 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float) -> None:
-        self.min_coverage = min_coverage
         self.templates = {name: words_of(t) for name, t in templates.items()}
         shared = Counter(w for t in self.templates.values() for w in set(t))
         self.rare: dict[str, list[str]] = defaultdict(list)
+        self.need: dict[str, int] = {}
         for name, t in self.templates.items():
-            for w in sorted(set(t), key=lambda w: (shared[w], -len(w)))[:3]:
+            need = next((m for m in range(1, len(t) + 1) if m / len(t) >= min_coverage), None)
+            if need is None:  # nothing reaches the coverage
+                continue
+            self.need[name] = need
+            times, spare = Counter(t), len(t) - need
+            for w in sorted(times, key=lambda w: (shared[w], -len(w), w)):
                 self.rare[w].append(name)
-        self.need = {name: sum(name in n for n in self.rare.values()) for name in self.templates}
-        self.trigger = re.compile("licen[cs]e|copyright|rights reserved|public domain", re.I)
+                spare -= times[w]
+                if spare < 0:
+                    break
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(licence, coverage, matched, template words, start, end), best first where they overlap."""
-        if not self.trigger.search(text):
+        lowered = text.lower()
+        if not any(w in lowered for w in self.rare):
             return []
         words = words_of(text)
         seeds = defaultdict(list)
@@ -115,16 +123,19 @@ class Scanner:
                 seeds[name].append(i)
         found = []
         for name, at in seeds.items():
-            template = self.templates[name]
+            template, need = self.templates[name], self.need[name]
+            known = set(template)
             reach = len(template) + len(template) // 2 + 2
             done = -1
             for i in at:
                 if i < done:
                     continue
                 lo, hi = max(0, i - reach, done), min(len(words), i + reach)
+                if sum(w in known for w in words[lo:hi]) < need:
+                    continue
                 pairs = align(words[lo:hi], template)
                 coverage = len(pairs) / len(template)
-                if coverage >= self.min_coverage:
+                if len(pairs) >= need:
                     # a stretch far longer than its words is chance, not a notice
                     start, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
                     if end - start <= 2 * len(template):

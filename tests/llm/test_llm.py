@@ -223,6 +223,22 @@ def test_license_alignment(docs, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_notices_are_found_without_the_word_license():
+    def names(text, templates=licenses.TEMPLATES, least=licenses.MIN_COVERAGE):
+        return [f[0] for f in licenses.Scanner(templates, least).scan(text)]
+
+    for name in ("Proprietary", "Unlicense"):
+        broken = licenses.TEMPLATES[name].replace(" ", "\n")
+        assert names(prose(80, 30) + "\n" + broken + "\n" + prose(80, 31)) == [name]
+    assert names("Distributed under CC BY-NC 4.0") == ["CC-BY-NC-4.0"]
+    body = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    assert names(prose(50, 32) + " " + body + " " + prose(50, 33), {"MIT body": body}) == ["MIT body"]
+    words = [f"w{i}" for i in range(20)]
+    for left in range(17):  # any four words may be missing
+        assert names(prose(60, 34) + " " + " ".join(words[:left] + words[left + 4 :]) + " " + prose(60, 35), {"t": " ".join(words)}) == ["t"]
+    assert names(body, {"t": body}, 1.1) == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.example/x", "<title>T</title><a href='/y#z'>l</a><p>Hé &amp; ho<script>no</script>"), (2, None, None), (3, "", "")], "page_id long, url string, html string")
     made = warc.derivatives(warc.responses(pages)).collect()
