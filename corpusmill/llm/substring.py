@@ -206,13 +206,24 @@ def shared_passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tup
             pieces += [(lo + s, lo + e, shift) for s, e in _runs(a[lo:hi] == b[lo + shift : hi + shift])]
     pieces.sort()
     chains: list[list[int]] = []
+    ends: dict[int, list[int]] = {}  # the open chains by the shift of their last piece
     for s, e, shift in pieces:
-        for c in reversed(chains[-8:]):
-            if e > c[1] and -RUN <= s - c[1] <= GAP and -RUN <= s + shift - c[3] <= GAP and s >= c[0]:
-                c[1], c[3] = e, e + shift
-                break
+        best = -1
+        for at in range(shift - RUN - GAP, shift + RUN + GAP + 1):
+            if at in ends:
+                ends[at] = [k for k in ends[at] if chains[k][1] >= s - GAP]  # no later piece starts before s
+                for k in ends[at]:
+                    c = chains[k]
+                    if k > best and e > c[1] and s - c[1] >= -RUN and -RUN <= s + shift - c[3] <= GAP:
+                        best = k
+        if best >= 0:
+            c = chains[best]
+            ends[c[3] - c[1]].remove(best)
+            c[1], c[3] = e, e + shift
         else:
+            best = len(chains)
             chains.append([s, e, s + shift, e + shift])
+        ends.setdefault(shift, []).append(best)
     out, covered = [], 0
     for c in sorted((c for c in chains if c[1] - c[0] >= PASSAGE), key=lambda c: (c[0], -c[1])):
         if c[1] > covered:  # a text that repeats itself has chains within chains

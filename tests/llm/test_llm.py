@@ -129,6 +129,14 @@ def test_passages_are_found_where_the_least_document_holds_part(spark):
                 assert spans.get(i, set()) >= set(range(k, k + 50)), (i, k)
 
 
+def test_chains_outlast_many_shifts():
+    a = np.arange(61, dtype=np.uint32)
+    b = np.concatenate([a, *[np.concatenate([a[k : k + 6], np.arange(1000 * k, 1000 * k + 14)]) for k in range(1, 25, 2)]]).astype(np.uint32)
+    b[30] = 99999
+    shifts = [0, *[61 + 20 * n - k for n, k in enumerate(range(1, 25, 2))]]
+    assert substring.shared_passages(a, b, shifts) == [(0, 61, 0, 61)]
+
+
 def test_compact_windows_equal_brute_force():
     r = np.random.default_rng(0)
     for n, width in ((60, 7), (40, 40), (5, 9), (50, 1)):
