@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts may be long, so that a batch stays at a few MB.
-BATCH_ROWS = 256
+#: A step over an Arrow batch takes at most so many rows and, unless one row has more, bytes of
+#: it. The JVM ends batches at spark.sql.execution.arrow.maxBytesPerBatch, so both sides are bounded.
+SLICE_ROWS = 256
+SLICE_BYTES = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,16 +21,30 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share. A local one is made only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session on this one
+    machine (tests) may do without and gets a temporary folder; elsewhere its lack is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/corpusmill-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; results must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,9 +55,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of SLICE_ROWS rows and SLICE_BYTES bytes at most."""
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        if not n:
+            continue
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES * n // max(1, batch.nbytes)))
+        while at < n:
+            piece = batch.slice(at, step)
+            while piece.num_rows > 1 and piece.nbytes > 2 * SLICE_BYTES:
+                piece = piece.slice(0, piece.num_rows // 2)
+            yield piece
+            at += piece.num_rows
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(slices(batches)), schema)
 
 
 def crc_fold(col: str, folds: int):

@@ -1,24 +1,30 @@
 """Repeated passages across documents by compact windows.
 
-A token is the hash of 8 consecutive words (ASCII white space apart, A-Z lower-cased). Under each
-hash function the tokens of a text form a Cartesian tree; a node whose subtree spans at least
-WINDOW tokens is a compact window (left, centre, right): all its subsequences that contain the
-centre share their min-hash. Every passage of 50 words holds 43 tokens, so it has such a centre in
-each text that contains it, under each hash function.
-
-Windows are grouped by what surrounds the centre: 29 words ending, or beginning, with the token
-at the centre (a passage of 50 words covers one of the two). A group is never paired up: each
-window is tied to the group's first document. The first document may hold less of a passage than
-later ones share, so windows whose surroundings (all passages of 50 words that hold the 29) differ
-from the first's are grouped once more by each of these passages, and tied to the first document
-that holds the passage. Tied windows whose intervals can hold a passage together give alignments
-(two documents and a shift), whose words are then compared over the whole texts; runs that a
-substitution or a small gap separates are chained. Exact repeats of 50 words and over are always
-found; near repeats are found where 29 words around some centre are intact.
+A token is the hash of 3 consecutive words (ASCII white space apart, A-Z lower-cased). Under each
+of 8 hash functions the tokens of a text form a Cartesian tree; a node whose subtree spans a
+passage of 50 words (WINDOW tokens) is a compact window (left, centre, right): all subsequences
+within it that hold the centre share their min-hash. The functions make BANDS pairs. Within a text
+an interval join of the two functions' windows gives the groups of passages that agree under both;
+a group's key is made of both min-hashes and the distance between their centres. So texts that
+share a key agree under two hash functions at one alignment, whatever words stand in between, and
+an exact passage of 50 words has a common key in every band.
+
+A key's members are never paired up: each is tied to the member of the least document. That
+document may hold less of a passage than later ones share, in two ways:
+- exact repeats: where the surroundings of a key of band 0 differ (all passages of 50 words that
+  hold both centres), its members are grouped once more by each of these passages and tied to the
+  first document that holds the passage. So exact repeats of 50 words and over are always found.
+- near repeats: members whose tie gave no passage are grouped once more by two keys at once (four
+  agreeing min-hashes), and tied to the least document of that group.
+Ties give alignments (two documents and a shift), whose words are compared over the whole texts;
+runs of RUN words that a substitution or a gap of up to GAP words separates are chained, and
+chains of 50 words and over are the passages.
 
 Null texts are empty; texts below 50 words have no window. Repeats within one document do not
-count. Rows that repeat an id and its text
-give their passages again. Other columns do not matter."""
+count, nor rows without an id, which are neither cut nor partners. Rows that repeat an id and its
+text give their passages again; rows that repeat an id with another text are compared with other
+ids only, each with its own words. An empty table has no passage. Other columns do not matter,
+whatever their names."""
 
 from __future__ import annotations
 
@@ -26,54 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import map_batches, materialize, text_or_empty
 
-GRAM = 8
+GRAM = 3
 PASSAGE = 50
 WINDOW = PASSAGE - GRAM + 1
-CONTEXT = 29
-#: Words on each side of a context that a passage around it may reach.
-REST = PASSAGE - CONTEXT
-HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BANDS = 4
 BASE = np.uint64(0x5851F42D4C957F2D)
 INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 #: A chain may cross this many words that differ, if runs of at least RUN words surround them.
 GAP, RUN = 3, 6
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-CACHE_WORDS = 400_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 40:
-            self[word] = value
-        return value
+#: Two keys of a near repeat's second grouping begin at least this many words apart.
+SPREAD = 12
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-
-
-def word_hashes(text: str, cache: dict) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
-    """op over every run of width values, by doubling."""
-    out, have = values, 1
-    while have * 2 <= width:
-        out = op(out[: len(out) - have], out[have:])
-        have *= 2
-    rest = width - have
-    return op(out[: len(out) - rest], out[rest:]) if rest else out
+    return text.encode("utf-8", "surrogatepass").translate(LOWER.tobytes()).split()
 
 
 class _Powers:
@@ -90,102 +69,214 @@ class _Powers:
             self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         return self.up[:n], self.down[:n]
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Prefix sums of values[i] * BASE ** i, one longer than values."""
+        out = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * self.upto(len(values) + 1)[0][: len(values)], dtype=np.uint64, out=out[1:])
+        return out
+
+    def span(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each [start, end): alike wherever the same values stand."""
+        return (sums[end] - sums[start]) * self.down[start]
+
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(texts: pa.Array, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts, where each text's words begin and, last, their number)."""
+    n = len(texts)
+    buffers = texts.buffers()
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(buffers[1], dtype=np.int64 if wide else np.int32, count=texts.offset + n + 1)[texts.offset :].astype(np.int64)
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
+    codes = LOWER[np.frombuffer(buffers[2], dtype=np.uint8, count=size, offset=int(offsets[0]))]
+    edges = offsets - offsets[0]
+    ink = ~BLANK[codes]
+    begins, ends = ink.copy(), np.concatenate([ink, [False]])
+    cut = np.zeros(size + 1, dtype=bool)
+    cut[edges] = True
+    begins[1:] &= ~ink[:-1] | cut[1:size]
+    ends[1:] = ink & np.concatenate([~ink[1:] | cut[1:size], [True]])
+    ends[0] = False
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+    h = powers.span(powers.sums(codes.astype(np.uint64) + np.uint64(1)), start, end)
+    return _mixed(h + (end - start).astype(np.uint64), 7), np.searchsorted(start, edges)
+
+
+def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
+    """op over every run of width values, by doubling."""
+    out, have = values, 1
+    while have * 2 <= width:
+        out = op(out[: len(out) - have], out[have:])
+        have *= 2
+    rest = width - have
+    return op(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def _parents(values: np.ndarray, above) -> np.ndarray:
+    """Of each value the nearest earlier one that is not above it, -1 if there is none: all jump
+    at once, over what those that they meet have jumped already."""
+    to = np.arange(-1, len(values) - 1)
+    k = np.arange(len(values))
+    while len(k := k[(to[k] >= 0) & above(values[to[k]], values[k])]):
+        to[k] = to[to[k]]
+    return to
+
+
 def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, centre, right), both ends included, of the Cartesian tree's nodes that span width
-    values or more. The neighbours that bound such a node span as much themselves, so the stack
-    runs over these nodes alone; equal values do not bound each other."""
+    values or more; of equal values the first is the parent. The neighbours that bound such a node
+    span as much themselves, so the tree is built over these nodes alone."""
     n = len(values)
     if n < width:
         return (np.zeros(0, dtype=np.int64),) * 3
     least = _sliding(values, width, np.minimum)
     pad = np.zeros(width - 1, dtype=values.dtype)
     centres = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == values)
-    left, right = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), n - 1, dtype=np.int64)
-    stack: list[int] = []
-    at, of = centres.tolist(), values[centres].tolist()
-    for k, v in enumerate(of):
-        while stack and of[stack[-1]] > v:
-            right[stack.pop()] = at[k] - 1
-        if stack:
-            left[k] = left[stack[-1]] if of[stack[-1]] == v else at[stack[-1]] + 1
-        stack.append(k)
-    return left, centres, right
-
-
-def _anchors(h: np.ndarray, powers: _Powers) -> tuple[np.ndarray, ...]:
-    """(group key, hash of the surroundings, context's start, room to the left, room to the right)
-    of each window and side."""
-    n = len(h)
-    up, down = powers.upto(n + 1)
-    prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)])
-    tokens = (prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1]
-    lefts, centres, rights = (np.concatenate(x) for x in zip(*[compact_windows(_mixed(tokens, salt), WINDOW) for salt in HASHES]))
-    centres, first = np.unique(centres, return_index=True)
-    lefts, rights = lefts[first], rights[first]
+    of = values[centres]
+    left = np.concatenate([[-1], centres])[_parents(of, np.greater) + 1] + 1
+    right = np.concatenate([[n], centres[::-1]])[_parents(of[::-1], np.greater_equal) + 1][::-1] - 1
+    wide = right - left + 1 >= width
+    return left[wide], centres[wide], right[wide]
+
+
+def _starts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The compact windows as (first, last, centre): from first to last begin the passages of
+    WINDOW tokens that share the centre. The least value, 0, parts the texts and is no centre."""
+    left, centre, right = compact_windows(values, WINDOW)
+    first, last = np.maximum(left, centre - WINDOW + 1), np.minimum(centre, right - WINDOW + 1)
+    ok = (values[centre] > 0) & (first <= last)
+    return first[ok], last[ok], centre[ok]
+
+
+def _joined(f: tuple[np.ndarray, ...], g: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The interval join of two functions' windows: the centres of those that share a passage."""
+    if not len(f[0]) or not len(g[0]):
+        return (np.zeros(0, dtype=np.int64),) * 2
+    at = np.union1d(f[0], g[0])
+    i, j = np.searchsorted(f[0], at, "right") - 1, np.searchsorted(g[0], at, "right") - 1
+    ok = (i >= 0) & (j >= 0)
+    at, i, j = at[ok], i[ok], j[ok]
+    ok = (at <= f[1][i]) & (at <= g[1][j])
+    return f[2][i[ok]], g[2][j[ok]]
+
+
+def passage_keys(h: np.ndarray, edges: np.ndarray, powers: _Powers) -> tuple[np.ndarray, ...]:
+    """(text, key, mark, surroundings of band 0) of all keys. A mark holds where the first centre
+    begins in its text, how many words both centres take, and if the text has the key first here."""
+    n, texts = len(h), np.zeros(0, dtype=np.int64)
+    if n < PASSAGE:
+        return texts, texts, texts, texts
+    sums = powers.sums(h)
+    at = np.arange(n - GRAM + 1)
+    tokens = np.zeros(n, dtype=np.uint64)
+    tokens[: n - GRAM + 1] = powers.span(sums, at, at + GRAM)
+    apart = np.zeros(n, dtype=bool)
+    for k in range(1, GRAM):
+        apart[(edges[1:] - k)[edges[1:] >= k]] = True
     out = []
-    for start in (centres, centres + GRAM - CONTEXT):
-        ok = (start >= 0) & (start + CONTEXT <= n)
-        s = start[ok]
-        key = _mixed((prefix[s + CONTEXT] - prefix[s]) * down[s], 1 if start is centres else 2)
-        lo, hi = np.maximum(s - REST, 0), np.minimum(s + PASSAGE, n)
-        around = _mixed((prefix[hi] - prefix[lo]) * down[lo] + ((s - lo) << 8 | (hi - s)).astype(np.uint64), 3)
-        out.append((key.view(np.int64), around.view(np.int64), s, (centres - lefts)[ok], (rights - centres)[ok]))
+    for band in range(BANDS):
+        windows = []
+        for salt in (2 * band + 1, 2 * band + 2):
+            values = _mixed(tokens, salt) | np.uint64(1)
+            values[apart] = 0
+            windows.append(_starts(values))
+        a, b = _joined(*windows)
+        lo, hi = np.minimum(a, b), np.maximum(a, b) + GRAM
+        key = _mixed(tokens[a] * np.uint64(0x2545F4914F6CDD1D) + _mixed(tokens[b], 99) + (b - a).astype(np.uint64), 100 + band)
+        text = np.searchsorted(edges, lo, "right") - 1
+        around = np.zeros(len(lo), dtype=np.int64)
+        if band == 0:
+            s, e = np.maximum(hi - PASSAGE, edges[text]), np.minimum(lo + PASSAGE, edges[text + 1])
+            around = _mixed(powers.span(sums, s, e) + ((lo - s) << 8 | (e - lo)).astype(np.uint64), 3).view(np.int64)
+        order = np.lexsort((lo, key, text))
+        new = np.ones(len(lo), dtype=np.int64)
+        new[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+        out.append((text, key.view(np.int64), (lo - edges[text]) << 8 | (hi - lo) << 1 | new, around))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, powers = _WordHashes(), _Powers()
+    powers = _Powers()
     for batch in batches:
-        ids, keys, arounds, marks = [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if doc_id is None or len(text) < 2 * PASSAGE - 1:
-                continue
-            h = word_hashes(text, cache)
-            if len(h) < PASSAGE:
-                continue
-            key, around, start, left, right = _anchors(h, powers)
-            ids.append(np.full(len(key), doc_id, dtype=np.int64))
-            keys.append(key)
-            arounds.append(around)
-            marks.append(start << 28 | np.minimum(left, 16383) << 14 | np.minimum(right, 16383))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, arounds, marks)], names=["key", "doc_id", "around", "mark"])
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        text, key, mark, around = passage_keys(*word_hashes(batch.column(1), powers), powers)
+        if len(text):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[text], mark, around)], names=["key", "doc", "mark", "around"])
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = _WordHashes()
+    powers = _Powers()
     for batch in batches:
-        rows = [word_hashes(t, cache).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "hashes"])
+        h, edges = word_hashes(batch.column(1), powers)
+        h = h.astype(np.uint32)
+        rows = [h[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc", "hashes"])
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The passages of PASSAGE words that hold one of the contexts."""
+    """The passages of PASSAGE words that hold both centres of one of the marks."""
     powers = _Powers()
     for batch in batches:
         ids, grams, places = [], [], []
-        for doc_id, starts, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, marks, hashes in zip(*(c.to_pylist() for c in batch.columns)):
             h = np.frombuffer(hashes, dtype=np.uint32).astype(np.uint64)
-            up, down = powers.upto(len(h) + 1)
-            prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(h, 4) * up[: len(h)], dtype=np.uint64)])
-            s = np.array(starts, dtype=np.int64)
+            if len(h) < PASSAGE:
+                continue
+            sums = powers.sums(_mixed(h, 4))
+            mark = np.array(marks, dtype=np.int64)
+            lo = mark >> 8
             edge = np.zeros(len(h) + 2, dtype=np.int64)
-            np.add.at(edge, np.maximum(s - REST, 0), 1)
-            np.add.at(edge, s + 1, -1)
-            at = np.flatnonzero(np.cumsum(edge)[: len(h) - PASSAGE + 1])
-            ids.append(np.full(len(at), doc_id, dtype=np.int64))
-            grams.append(_mixed((prefix[at + PASSAGE] - prefix[at]) * down[at], 5).view(np.int64))
+            np.add.at(edge, np.maximum(lo + (mark >> 1 & 127) - PASSAGE, 0), 1)
+            np.add.at(edge, lo + 1, -1)
+            at = np.flatnonzero(np.cumsum(edge)[: len(h) - PASSAGE + 1] > 0)
+            gram = _mixed(powers.span(sums, at, at + PASSAGE), 5)
+            # of a passage that the text holds again at once, each PASSAGE words one is enough
+            order = np.lexsort((at, gram))
+            keep, last = np.ones(len(at), dtype=bool), {}
+            again = np.flatnonzero(gram[order[1:]] == gram[order[:-1]]) + 1
+            for k in order[np.union1d(again, again - 1)].tolist():
+                g, p = int(gram[k]), int(at[k])
+                if p - last.get(g, -PASSAGE) < PASSAGE:
+                    keep[k] = False
+                else:
+                    last[g] = p
+            at, gram = at[keep], gram[keep]
+            ids.append(np.full(len(at), doc, dtype=np.int64))
+            grams.append(gram.view(np.int64))
             places.append(at)
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, ids, places)], names=["gram", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, ids, places)], names=["gram", "doc", "at"])
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of keys whose tie gave no passage at their place, each two within a passage as one key."""
+    for batch in batches:
+        out = []
+        for doc, keys, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            spans = sorted((s["start_word"], s["end_word"]) for s in spans or ())
+            ends = np.maximum.accumulate([e for _, e in spans]) if spans else []
+            at = np.searchsorted([s for s, _ in spans], [k["start"] for k in keys], "right") - 1
+            left = sorted((k["start"], k["key"]) for k, i in zip(keys, at.tolist()) if i < 0 or ends[i] <= k["start"])
+            start, key = np.array([x for x, _ in left], dtype=np.int64), np.array([k for _, k in left], dtype=np.int64).view(np.uint64)
+            low, high = np.searchsorted(start, start + SPREAD), np.searchsorted(start, start + WINDOW)
+            count = high - low
+            if not count.sum():
+                continue
+            i = np.repeat(np.arange(len(start)), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + low[i]
+            made = _mixed(key[i] * np.uint64(3) + _mixed(key[j], 11) + (start[j] - start[i]).astype(np.uint64), 12)
+            made, first = np.unique(made, return_index=True)
+            out.append((made.view(np.int64), np.full(len(made), doc, dtype=np.int64), start[i][first]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "doc", "start"])
 
 
 def _runs(equal: np.ndarray) -> list[tuple[int, int]]:
@@ -232,7 +323,9 @@ def shared_passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tup
     return out
 
 
-SPAN_SCHEMA = "doc_id long, start_word long, end_word long, partner_doc_id long, partner_start long, partner_end long"
+#: Columns beside those of a caller's table, so named that they clash with none.
+SPANS, OF, DIGEST = "corpusmill_spans", "corpusmill_of", "corpusmill_digest"
+SPAN_SCHEMA = "doc long, start_word long, end_word long, other long, partner_start long, partner_end long"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,36 +335,89 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
             out += [(doc, s, e, other, ps, pe) for s, e, ps, pe in shared_passages(a, b, shifts)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start_word", "end_word", "partner_doc_id", "partner_start", "partner_end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "start_word", "end_word", "other", "partner_start", "partner_end"])
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) of all rows with an id, and (doc, doc_id) of the rows whose doc is not their id:
+    rows of one id with several texts. These take numbers that no row has as its id."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text")).filter("doc IS NOT NULL")
+    ids = texts.select("doc").groupBy("doc").count()
+    again = ids.filter("count > 1").select("doc")
+    if again.isEmpty():
+        return texts, None
+    again = materialize(again, "passage-again")
+    several = texts.join(again.hint("shuffle_hash"), "doc", "left_semi").select("doc", F.xxhash64("text").alias("digest")).distinct()
+    low = ids.agg(F.min("doc")).first()[0]
+    free = low > -(2**62)  # numbers below all ids, else above all; in the order of the hash, not of the id
+    base = low if free else ids.agg(F.max("doc")).first()[0]
+    spot = F.monotonically_increasing_id() + 1
+    names = materialize(several.select(F.col("doc").alias("doc_id"), "digest", (F.lit(base) - spot if free else F.lit(base) + spot).alias("number")), "passage-numbers")
+    met = texts.withColumn("digest", F.xxhash64("text")).join(names.withColumnRenamed("doc_id", "doc").hint("shuffle_hash"), ["doc", "digest"], "left")
+    return materialize(met.select(F.coalesce("number", "doc").alias("doc"), "text").distinct(), "passage-texts"), names
+
+
+def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """pairs (doc, other, shift) -> verified passages."""
+    pairs = pairs.groupBy("doc", "other").agg(F.collect_set("shift").alias("shifts"))
+    met = pairs.join(hashed, "doc").join(hashed.withColumnsRenamed({"doc": "other", "hashes": "other_hashes"}), "other").select("doc", "other", "shifts", "hashes", "other_hashes")
+    return map_batches(met, _verify, SPAN_SCHEMA)
+
+
+def _spans(texts: DataFrame, same: DataFrame | None) -> DataFrame:
+    def windows() -> DataFrame:
+        return map_batches(texts, _window_rows, "key long, doc long, mark long, around long")
+
+    start = F.shiftright("mark", 8)
+    # the least document's first place of the key; all four are plain numbers, merged before the shuffle
+    first = windows().groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.expr("min_by(mark, doc) FILTER (WHERE mark & 1 = 1)").alias("mark"), (F.min("around") < F.max("around")).alias("mixed"))
+    first = materialize(first.filter("other < last").select("key", "other", start.alias("other_start"), "mixed"), "passage-groups")
+    tied = windows().select("key", "doc", "mark").join(first.hint("shuffle_hash"), "key").filter("doc <> other OR mixed")
+    tied = materialize(tied.select("key", "doc", "other", start.alias("start"), (F.col("other_start") - start).alias("shift"), F.when(F.col("mixed"), F.col("mark")).alias("mark")), "passage-ties")
+    aligned = tied.filter("doc <> other").select("doc", "other", "shift")
+    needed = tied.select("doc").unionByName(aligned.select(F.col("other").alias("doc"))).distinct()
+    hashed = materialize(map_batches(texts.join(needed.hint("shuffle_hash"), "doc", "left_semi"), _hash_rows, "doc long, hashes binary"), "passage-words")
+    marks = tied.filter("mark IS NOT NULL").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    grams = materialize(map_batches(hashed.join(marks, "doc").select("doc", "marks", "hashes"), _gram_rows, "gram long, doc long, at long"), "passage-grams")
+    holder = grams.groupBy("gram").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).filter("other < last").select("gram", "other")
+    held = grams.join(holder.hint("shuffle_hash"), "gram")
+    place = held.filter("doc = other").groupBy("gram").agg(F.min("at").alias("other_at"))
+    held = held.filter("doc <> other").join(place, "gram").select("doc", "other", (F.col("other_at") - F.col("at")).alias("shift"))
+    pairs = aligned.unionByName(held).distinct()
+    if same is not None:
+        pairs = _of_other_ids(pairs, same)
+    pairs = materialize(pairs, "passage-pairs")
+    spans = materialize(_aligned(pairs, hashed), "passage-found")
+    # near repeats whose tie failed: two keys at once
+    failed = tied.filter("doc <> other").groupBy("doc").agg(F.collect_set(F.struct("key", "start")).alias("keys"))
+    found = spans.groupBy("doc").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    more = materialize(map_batches(failed.join(found, "doc", "left").select("doc", "keys", "spans"), _pair_keys, "key long, doc long, start long"), "passage-double")
+    least = more.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.min_by("start", "doc").alias("other_start")).filter("other < last")
+    again = more.join(least.drop("last").hint("shuffle_hash"), "key").filter("doc <> other").select("doc", "other", (F.col("other_start") - F.col("start")).alias("shift")).distinct()
+    again = again.join(pairs, ["doc", "other", "shift"], "left_anti")
+    if same is not None:
+        again = _of_other_ids(again, same)
+    return spans.unionByName(_aligned(again, hashed))
+
+
+def _of_other_ids(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """Without pairs of rows that share their id."""
+    a, b = same.select(F.col("number").alias("doc"), F.col("doc_id").alias("id_a")), same.select(F.col("number").alias("other"), F.col("doc_id").alias("id_b"))
+    return pairs.join(a, "doc", "left").join(b, "other", "left").filter("coalesce(id_a, doc) <> coalesce(id_b, other)").select("doc", "other", "shift")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages [start_word, end_word) of doc_id that partner_doc_id, a smaller id, holds too. Each
-    later holder of a passage is tied to an earlier one, so the least holder alone has no row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    windows = materialize(map_batches(texts, _window_rows, "key long, doc_id long, around long, mark long"), "passage-windows")
-    # of the least document's windows the widest stands for it
-    width = (F.shiftright("mark", 14).bitwiseAND(F.lit(16383)) + F.col("mark").bitwiseAND(F.lit(16383))).alias("width")
-    least = F.min(F.struct("doc_id", (-width).alias("narrow"), "mark", "around")).alias("first")
-    first = windows.groupBy("key").agg(least, F.max("doc_id").alias("last"), (F.min("around") < F.max("around")).alias("mixed"))
-    first = first.filter("first.doc_id < last").select("key", F.col("first.doc_id").alias("other"), F.col("first.mark").alias("other_mark"), F.col("first.around").alias("other_around"), "mixed")
-    start, left, right = (lambda m: F.shiftright(m, 28)), (lambda m: F.shiftright(m, 14).bitwiseAND(F.lit(16383))), (lambda m: F.col(m).bitwiseAND(F.lit(16383)))
-    reach = F.least(left("mark"), left("other_mark")) + F.least(right("mark"), right("other_mark")) + 1
-    apart = F.col("mixed") & ((F.col("around") != F.col("other_around")) | (F.col("doc_id") == F.col("other")))
-    tied = windows.join(materialize(first, "passage-groups").hint("shuffle_hash"), "key")
-    tied = tied.select("doc_id", "other", start("mark").alias("start"), (start("other_mark") - start("mark")).alias("shift"), ((reach >= WINDOW) & (F.col("doc_id") != F.col("other"))).alias("aligned"), apart.alias("apart"))
-    tied = materialize(tied.filter("aligned OR apart"), "passage-ties")
-    aligned = tied.filter("aligned").select("doc_id", "other", "shift")
-    needed = tied.select("doc_id").unionByName(aligned.select(F.col("other").alias("doc_id"))).distinct()
-    hashed = materialize(map_batches(texts.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), _hash_rows, "doc_id long, hashes binary"), "passage-words")
-    contexts = tied.filter("apart").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    grams = materialize(map_batches(hashed.join(contexts, "doc_id").select("doc_id", "starts", "hashes"), _gram_rows, "gram long, doc_id long, at long"), "passage-grams")
-    holder = grams.groupBy("gram").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    held = grams.join(holder.select("gram", F.col("first.doc_id").alias("other"), F.col("first.at").alias("other_at")).hint("shuffle_hash"), "gram").filter("doc_id <> other")
-    aligned = aligned.unionByName(held.select("doc_id", "other", (F.col("other_at") - F.col("at")).alias("shift")))
-    pairs = materialize(aligned.groupBy("doc_id", "other").agg(F.collect_set("shift").alias("shifts")), "passage-pairs")
-    met = pairs.join(hashed, "doc_id").join(hashed.withColumnsRenamed({"doc_id": "other", "hashes": "other_hashes"}), "other").select("doc_id", "other", "shifts", "hashes", "other_hashes")
-    return map_batches(met, _verify, SPAN_SCHEMA)
+    """Passages [start_word, end_word) of doc_id that partner_doc_id, an earlier document, holds
+    too. Each later holder of a passage is tied to an earlier one, so the first holder alone has no
+    row. Earlier is the smaller id, but rows that repeat an id with different texts come before all
+    others; text_digest (null elsewhere) tells whose words their rows count."""
+    texts, same = _numbered(docs, id_col, text_col)
+    spans = _spans(texts, same)
+    doc, other, digest = F.col("doc"), F.col("other"), F.lit(None).cast("long")
+    if same is not None:
+        spans = spans.join(same.select(F.col("number").alias("doc"), F.col("doc_id").alias("id_a"), "digest"), "doc", "left").join(same.select(F.col("number").alias("other"), F.col("doc_id").alias("id_b")), "other", "left")
+        doc, other, digest = F.coalesce("id_a", "doc"), F.coalesce("id_b", "other"), F.col("digest")
+    return spans.select(doc.alias("doc_id"), "start_word", "end_word", other.alias("partner_doc_id"), "partner_start", "partner_end", digest.alias("text_digest"))
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -295,11 +441,15 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The documents, their repeated passages cut out of every holder but the least; documents of
-    which no word is left go. length_col, where it exists, follows the text."""
-    spans = repeated_passages(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
-    spans = materialize(spans, "passage-spans").withColumnRenamed("doc_id", "_of")
-    joined = docs.join(spans.hint("shuffle_hash"), docs[id_col] == F.col("_of"), "left").drop("_of")
+    """The documents, their repeated passages cut out of every holder but the first; documents of
+    which no word is left go. length_col, where it exists, follows the text. Rows without an id
+    stay as they are; rows that repeat an id and its text are cut alike."""
+    spans = repeated_passages(docs, id_col, text_col).groupBy("doc_id", "text_digest").agg(F.collect_set(F.struct("start_word", "end_word")).alias(SPANS))
+    spans = materialize(spans.withColumnsRenamed({"doc_id": OF, "text_digest": DIGEST}), "passage-spans")
+    met = docs[id_col].cast("long") == F.col(OF)
+    if not spans.filter(F.col(DIGEST).isNotNull()).isEmpty():
+        met = met & F.coalesce(F.col(DIGEST) == F.xxhash64(text_or_empty(text_col)), F.lit(True))
+    joined = docs.join(spans.hint("shuffle_hash"), met, "left").select(*[docs[c] for c in docs.columns], SPANS)
     columns, t = docs.columns, docs.columns.index(text_col)
     n = columns.index(length_col) if length_col in columns else None
 

@@ -142,7 +142,7 @@ def test_compact_windows_equal_brute_force():
     for n, width in ((60, 7), (40, 40), (5, 9), (50, 1)):
         v = r.integers(0, 12, n).astype(np.uint64)
         left, centre, right = substring.compact_windows(v, width)
-        want = [(max([j for j in range(c) if v[j] < v[c]], default=-1) + 1, c, min([j for j in range(c, n) if v[j] < v[c]], default=n) - 1) for c in range(n)]
+        want = [(max([j for j in range(c) if v[j] <= v[c]], default=-1) + 1, c, min([j for j in range(c, n) if v[j] < v[c]], default=n) - 1) for c in range(n)]
         assert list(zip(left.tolist(), centre.tolist(), right.tolist())) == [w for w in want if w[2] - w[0] + 1 >= width]
 
 
