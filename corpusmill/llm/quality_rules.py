@@ -1,15 +1,19 @@
-"""Quality rules as weak supervision. Each rule votes good (+1), bad (-1) or abstains (0);
-expectation-maximisation over the histogram of vote patterns estimates the accuracy of each rule,
-and a document is kept by its posterior quality, not by passing
-every rule.
+"""Quality rules as weak supervision. Each rule judges one count of a text and votes good (+1), bad
+(-1) or abstains (0); expectation-maximisation over the histogram of vote patterns estimates, of
+each rule, how often its votes are bad on good and on bad documents, and a document is kept by its
+posterior quality: one bad vote of a rule that is often wrong does not reject it, as all-must-pass
+would, and several weak ones together do.
 
 The histogram has at most 3^10 rows whatever the corpus, so the fit runs on the driver over
-exact counts of all documents. Nulls count as empty texts (no words, base_failed, not kept);
-repeated rows vote each time; an empty table gives an empty result."""
+exact counts of all documents. Nulls count as empty texts (no words, base_failed, not kept); a
+null id is a row like any other; repeated rows vote each time; a posterior of just the threshold
+keeps; an empty table gives an empty result. Other columns, whatever their names, are not read;
+keep_good returns them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +23,13 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import map_batches, materialize, text_or_empty
 from corpusmill.llm.textstats import Stats, stats
 
-RULES = ("symbol_words", "symbol_share", "pipes", "capitals", "bangs", "repeats", "variety", "neighbours", "sentences", "plain")
+RULES = ("symbols", "capitals", "bangs", "repeats", "variety", "neighbours", "sentences", "lines", "edges", "punctuation")
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-ROUNDS = 200
-PRIOR_VOTES, PRIOR_ACCURACY, FLOOR = 20, 0.93, 0.8
+ROUNDS = 500
+#: Votes that stand for each rule and class before the corpus speaks, and how they are cast: good
+#: texts mostly please a rule, bad ones displease a few of the rules only.
+PRIOR_VOTES, PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE = 20, 0.97, 0.3, 0.8
 
 
 def base_failed(s: Stats) -> bool:
@@ -31,23 +37,27 @@ def base_failed(s: Stats) -> bool:
 
 
 def votes(s: Stats) -> tuple[int, ...]:
-    """Each kind of damage is seen by two rules or three, so that they can confirm one another;
-    these vote bad or abstain. The last rule votes good on what no other objects to."""
+    """Each rule by its own counts alone: bad above (or below) one mark, good on the other side of
+    a second, no vote between them or where the text is too short to tell."""
     n = s.n_words
     if not n:
         return (0,) * len(RULES)
-    bad = (
-        s.n_symbols > 0.05 * n,
-        s.n_symbols > 0.01 * s.word_chars,
-        s.n_pipes > 0.05 * n,
-        s.n_letters >= 20 and s.n_upper > 0.15 * s.n_letters,
-        s.n_bangs > 0.05 * n,
-        s.n_repeat_words > 0.3 * n,
-        n >= 40 and s.n_distinct_words < 0.25 * min(n, 300),
-        s.n_same_neighbours > 0.06 * n,
-        n >= 40 and not 0.004 * n <= s.n_stops <= 0.4 * n,
+
+    def vote(bad: bool, good: bool, able: bool = True) -> int:
+        return 0 if not able else -1 if bad else int(good)
+
+    return (
+        vote(s.n_symbols > 0.05 * n, s.n_symbols <= 0.01 * n),
+        vote(s.n_upper > 0.15 * s.n_letters, s.n_upper <= 0.08 * s.n_letters, s.n_letters >= 20),
+        vote(s.n_bangs > 0.05 * n, s.n_bangs <= 0.01 * n),
+        vote(s.n_repeat_words > 0.2 * n, s.n_repeat_words <= 0.1 * n),
+        vote(s.n_distinct_words < 0.25 * min(n, 300), s.n_distinct_words >= 0.4 * min(n, 300), n >= 40),
+        vote(s.n_same_neighbours > 0.06 * n, s.n_same_neighbours <= 0.03 * n),
+        vote(not 0.004 * n <= s.n_stops <= 0.4 * n, 0.02 * n <= s.n_stops <= 0.25 * n, n >= 40),
+        vote(s.n_dup_lines > 0.3 * s.n_lines, s.n_dup_lines <= 0.1 * s.n_lines, s.n_lines >= 4),
+        vote(s.n_symbol_ends > 0.1 * n, s.n_symbol_ends <= 0.02 * n),
+        vote(s.n_punctuation > 0.12 * s.word_chars, s.n_punctuation <= 0.08 * s.word_chars),
     )
-    return (*(-int(b) for b in bad), int(not any(bad) and s.longest_word <= 60))
 
 
 def pattern(vote: tuple[int, ...]) -> int:
@@ -65,29 +75,39 @@ def unpack(code: int) -> list[int]:
     return out[::-1]
 
 
-def fit(counts: dict[int, int]) -> dict[int, float]:
-    """Posterior quality of each vote pattern. EM estimates each rule's accuracy (the chance that
-    its vote, where it casts one, is right) and the share of good documents; abstaining says
-    nothing. PRIOR_VOTES votes at PRIOR_ACCURACY stand for each rule at the start, and no rule
-    counts as worse than FLOOR, which fixes which class is the good one."""
-    if not counts:
-        return {}
+class Model(NamedTuple):
+    """share of good documents; by rule, how often a vote that it casts on a good (on a bad)
+    document is bad."""
+
+    share: float
+    bad_of_good: np.ndarray
+    bad_of_bad: np.ndarray
+
+    def posterior(self, cast: np.ndarray) -> np.ndarray:
+        g, b = self.bad_of_good, self.bad_of_bad
+        pull = (cast < 0) @ np.log(g / b) + (cast > 0) @ np.log((1 - g) / (1 - b))
+        return 1 / (1 + np.exp(-np.clip(np.log(self.share / (1 - self.share)) + pull, -60, 60)))
+
+
+def fit(counts: dict[int, int]) -> tuple[Model, dict[int, float]]:
+    """The model and the posterior quality of each vote pattern. EM estimates both rates of each
+    rule and the share of good documents; an abstention says nothing. The priors, worth
+    PRIOR_VOTES votes a rule and class, tell which class is the good one."""
     codes = sorted(counts)
     weight = np.array([counts[c] for c in codes], dtype=float)
-    cast = np.array([unpack(c) for c in codes])
-    good, bad = cast > 0, cast < 0
-    accuracy, share = np.full(len(RULES), PRIOR_ACCURACY), 0.8
-    post = np.zeros(len(codes))
+    cast = np.array([unpack(c) for c in codes]).reshape(-1, len(RULES))
+    good, bad = (cast > 0).astype(float), (cast < 0).astype(float)
+    model = Model(PRIOR_SHARE, np.full(len(RULES), 1 - PRIOR_GOOD), np.full(len(RULES), PRIOR_BAD))
+    post = model.posterior(cast)
     for _ in range(ROUNDS):
-        pull = np.log(accuracy / (1 - accuracy))
-        new = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + cast @ pull, -60, 60)))
-        done, post = np.abs(new - post).max() < 1e-9, new
-        if done:
+        rates = []
+        for w, prior in ((weight * post, 1 - PRIOR_GOOD), (weight * (1 - post), PRIOR_BAD)):
+            rates.append((w @ bad + PRIOR_VOTES * prior) / (w @ (bad + good) + PRIOR_VOTES))
+        model = Model((weight @ post + PRIOR_VOTES * PRIOR_SHARE) / (weight.sum() + PRIOR_VOTES), *rates)
+        last, post = post, model.posterior(cast)
+        if not len(codes) or np.abs(post - last).max() < 1e-9:
             break
-        right = (weight * post) @ good + (weight * (1 - post)) @ bad
-        accuracy = np.clip((right + PRIOR_VOTES * PRIOR_ACCURACY) / (weight @ (good | bad) + PRIOR_VOTES), FLOOR, 0.999)
-        share = min(max((weight @ post + 8) / (weight.sum() + 10), 0.5), 0.95)
-    return {c: float(p) for c, p in zip(codes, post)}
+    return model, {c: float(p) for c, p in zip(codes, post)}
 
 
 STATS_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, pattern int"
@@ -110,7 +130,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def posteriors(measured: DataFrame) -> dict[int, float]:
     """Fitted over every document that is not base_failed; at most 3^10 rows reach the driver."""
     rows = measured.filter(~F.col("base_failed")).groupBy("pattern").count().collect()
-    return fit({r["pattern"]: r["count"] for r in rows})
+    return fit({r["pattern"]: r["count"] for r in rows})[1]
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

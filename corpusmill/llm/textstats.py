@@ -10,6 +10,8 @@ import numpy as np
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
+IS_SYMBOL = np.array([chr(c) in SYMBOLS for c in range(256)])
+IS_BLANK = np.array([chr(c) in SPACES for c in range(256)])
 
 
 class Stats(NamedTuple):
@@ -29,6 +31,8 @@ class Stats(NamedTuple):
     n_commas: int
     n_digits: int
     longest_word: int
+    n_symbol_ends: int
+    n_punctuation: int
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -71,4 +75,6 @@ def stats(text: str | None) -> Stats:
         n_commas=int(of[44]),
         n_digits=int(of[48:58].sum()),
         longest_word=max(map(len, words), default=0),
+        n_symbol_ends=int(np.count_nonzero(IS_SYMBOL[codes] & np.concatenate([IS_BLANK[codes[1:]], [True]]))) if len(codes) else 0,
+        n_punctuation=int(of[33:48].sum() + of[58:65].sum() + of[91:97].sum() + of[123:127].sum()),
     )
