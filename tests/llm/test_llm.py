@@ -268,3 +268,21 @@ def test_pipeline_keeps_clean_documents(spark):
     out = corpus_pipeline.run(spark, sf)
     ids = {r.doc_id for r in out.collect()}
     assert 0 < len(ids) < docs.count()
+
+
+@pytest.mark.parametrize("zones", [9, 11])
+def test_simhash_links_equal_all_pairs_for_any_zones(spark, zones):
+    r = random.Random(zones)
+    prints = {r.getrandbits(64) for _ in range(40)}
+    for p in sorted(prints):
+        for _ in range(3):
+            prints.add(p ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 8))))
+    want = {tuple(sorted((simhash._signed(a), simhash._signed(b)))) for a in prints for b in prints if 0 < (a ^ b).bit_count() <= 6}
+    got = simhash.linked_classes(spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long"), zones).collect()
+    assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
+
+
+def test_simhash_zones_follow_the_number_of_classes():
+    assert simhash.zones_for(1000) == 9 < simhash.zones_for(10**7) < simhash.zones_for(10**9)
+    work = [simhash.comb(z, 6) * n * (simhash.CELL_COST + n * simhash.SAME_COUNT ** (32 * (z - 6) / z)) for n in (2**k for k in range(14, 34)) for z in [simhash.zones_for(n)]]
+    assert all(b < 3 * a for a, b in zip(work, work[1:]))
