@@ -1,20 +1,29 @@
 """Benchmark decontamination by spaced seeds; DataFrame functions only.
 
 A seed hashes the words at the set positions of a fixed mask, so that a substituted word at an
-ignored position does not hide a copy. Seeds of every position of every document are looked up
-among those of the benchmark; around each hit the document and the item are aligned and the equal
-words are counted, over the whole item. The item positions that any aligned hit confirms make the
-coverage, so an insertion or a deletion costs the words it displaces only.
-
-The benchmark's seeds become a literal set in the scan, which then needs no shuffle, up to
-MAX_SET seeds; beyond that number they are joined to the exploded seeds of the documents.
-
-Null texts are empty. Items of fewer words than the mask spans have no seed and match nothing.
-Repeated items each give their own row; repeated documents too. Either table may be empty."""
+ignored position does not hide a copy. Seeds of every position of every document are joined with
+those of the benchmark. A bitmap of the benchmark's seeds, a literal in the scan, passes over
+nearly all positions before that: it takes 64 bits a seed, MAX_BITS bits at most (beyond that more
+positions survive it, and the result stays the same), so that one plan serves any benchmark and
+only documents with a hit are written and shuffled.
+
+Each hit aligns the item with one place of the document. Alignments whose shifts follow one another
+by at most SLACK words (insertions, deletions) are one place; the equal words of all alignments of a
+place are counted over the item there, never together with those of another place. A document
+holds an item if at one place min_coverage of the item's words stand, or, of a longer item, LOCAL
+words within some LOCAL_SPAN of its consecutive words.
+
+Items of fewer words than the first mask spans match as a whole sequence, those below MIN_ITEM
+words only a document that has no other words. Null texts are empty, and items without a word
+match nothing. Repeated items each give their own row (they are searched for once); repeated
+documents too, and rows with a null id. Either table may be empty. Only ids and texts are read;
+other columns and their names do not matter."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize, text_or_empty
@@ -22,7 +31,10 @@ from corpusmill.llm.common import materialize, text_or_empty
 #: Offsets read by each mask; the others within the span are ignored.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 9))
 MIN_COVERAGE = 0.5
-MAX_SET = 50_000
+LOCAL, LOCAL_SPAN = 24, 30
+SLACK = 3
+MIN_ITEM = 4
+MAX_BITS = 1 << 26
 
 
 def word_array(text: Column) -> Column:
@@ -36,76 +48,88 @@ def _words(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
 
 
 def _seed(mask: tuple[int, ...], i: Column) -> Column:
-    return F.xxhash64(*[F.get(F.col("w"), i + o) for o in mask])
-
-
-def _seed_at(mask: tuple[int, ...]):
-    return lambda i: _seed(mask, i)
+    return F.xxhash64(F.lit(len(mask) << 8 | mask[-1]), *[F.get(F.col("w"), i + o) for o in mask])
 
 
-def _placed_seed(mask: tuple[int, ...]):
-    return lambda i: F.struct(i.alias("doc_at"), _seed(mask, i).alias("seed"))
+def _placed(mask: tuple[int, ...]):
+    return lambda i: F.struct(i.alias("at"), _seed(mask, i).alias("seed"))
 
 
 def _positions(mask: tuple[int, ...]) -> Column:
     last = F.size("w") - (mask[-1] + 1)
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-
-def _seeds(words: DataFrame, name: str, at: str) -> DataFrame:
-    """(name, mask, at, seed): one row a mask and position."""
-    parts = []
-    for m, mask in enumerate(MASKS):
-        listed = words.select(name, F.posexplode(F.transform(_positions(mask), _seed_at(mask))).alias(at, "seed"))
-        parts.append(listed.withColumn("mask", F.lit(m)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _within(seeds: list[int], mask: tuple[int, ...]) -> Column:
-    """The positions whose seed is in the set. Built as text: the set is one expression."""
-    hashed = ", ".join(f"w[i + {o}]" for o in mask)
-    span = mask[-1] + 1
-    return F.expr(f"CASE WHEN size(w) >= {span} THEN filter(sequence(0, size(w) - {span}), i -> xxhash64({hashed}) IN ({', '.join(f'{s}L' if s > -(2**63) else 'CAST(-9223372036854775808 AS BIGINT)' for s in seeds)})) ELSE CAST(array() AS array<int>) END")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE, max_set: int = MAX_SET) -> DataFrame:
-    """(doc_id, item_id, n_matched, item_words, coverage, first_word): items of which a document
-    holds at least min_coverage of the words in alignment with a seed hit."""
-    items = materialize(_words(benchmark, item_col, item_text, "item_id").withColumn("item_row", F.monotonically_increasing_id()), "bench-words")
-    bench = materialize(_seeds(items, "item_row", "item_at"), "bench-seeds")
-    n_seeds = bench.select("seed").distinct().limit(max_set + 1).count()
-    words = _words(docs, id_col, text_col, "doc_id").withColumn("doc_row", F.monotonically_increasing_id())
-    if n_seeds <= max_set:
-        sets = {m: [r["seed"] for r in bench.filter(F.col("mask") == m).select("seed").distinct().collect()] for m in range(len(MASKS))}
-        hit_cols = [_within(sets[m], mask) if sets[m] else F.array().cast("array<int>") for m, mask in enumerate(MASKS)]
-        some = words.select("doc_id", "doc_row", "w", *[c.alias(f"p{m}") for m, c in enumerate(hit_cols)])
-        some = materialize(some.filter(" or ".join(f"size(p{m}) > 0" for m in range(len(MASKS)))), "bench-hits")
-        seeds = None
-        for m, mask in enumerate(MASKS):
-            listed = some.select("doc_row", F.lit(m).alias("mask"), F.explode(F.transform(f"p{m}", _placed_seed(mask))).alias("s")).select("doc_row", "mask", "s.doc_at", "s.seed")
-            seeds = listed if seeds is None else seeds.unionByName(listed)
-        hits = seeds.join(F.broadcast(bench), ["mask", "seed"])
-        aligned = materialize(hits.select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "bench-aligned")
-        held = some.select("doc_id", "doc_row", "w")
-    else:
-        hits = _seeds(words, "doc_row", "doc_at").join(bench, ["mask", "seed"])
-        aligned = materialize(hits.select("doc_row", "item_row", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "bench-aligned")
-        held = words.join(aligned.select("doc_row").distinct(), "doc_row", "left_semi")
-    both = aligned.join(held, "doc_row").join(items.withColumnsRenamed({"w": "iw"}), "item_row")
-    same = F.filter(F.sequence(F.lit(0), F.size("iw") - 1), lambda j: F.get(F.col("w"), F.when(j + F.col("shift") >= 0, j + F.col("shift")).otherwise(F.lit(-1))) == F.get(F.col("iw"), j))
-    # only shifts with a seed hit are aligned, so that the positions gathered stay within one item's length
-    counted = both.select("doc_row", "doc_id", "item_row", "item_id", F.size("iw").alias("item_words"), "shift", same.alias("same"))
-    found = counted.groupBy("doc_row", "doc_id", "item_row", "item_id", "item_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set("same")))).alias("n_matched"), F.min(F.greatest(F.col("shift"), F.lit(0))).alias("first_word"))
-    coverage = F.col("n_matched") / F.col("item_words")
-    return found.filter(coverage >= min_coverage).select("doc_id", "item_id", F.col("n_matched").cast("long"), F.col("item_words").cast("long"), F.round(coverage, 6).alias("coverage"), F.col("first_word").cast("long"), "doc_row")
+    able = last == 0 if len(mask) < MIN_ITEM else last >= 0
+    return F.when(able, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _seeds(words: DataFrame, keys: list[str], masks: list[tuple[int, ...]], at: list[Column]) -> DataFrame:
+    """(keys, at, seed): one row a mask and position."""
+    parts = [F.transform(a, _placed(m)) for a, m in zip(at, masks)]
+    return words.select(*keys, F.explode(F.concat(*parts)).alias("s")).select(*keys, "s.at", "s.seed")
+
+
+def _bitmap(bench: DataFrame) -> tuple[Column, int]:
+    """The seeds' bits as a literal array of longs, and how many bits it has."""
+    size = 1024
+    n = bench.count()
+    while size < min(64 * n, MAX_BITS):
+        size *= 2
+    words = [0] * (size // 64)
+    cell = F.shiftright(F.col("seed").bitwiseAND(F.lit(size - 1)), 6)
+    bit = F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")
+    for r in bench.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits")).collect():  # size / 64 rows at most
+        words[r["cell"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>"), size
+
+
+def _met(mask: tuple[int, ...], bitmap: Column, size: int) -> Column:
+    """The positions whose seed's bit is set."""
+
+    def hit(i: Column) -> Column:
+        seed = _seed(mask, i)
+        held = F.get(bitmap, F.shiftright(seed.bitwiseAND(F.lit(size - 1)), 6).cast("int"))
+        return F.getbit(held, seed.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return F.filter(_positions(mask), hit)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """(doc_id, item_id, n_matched, item_words, coverage, first_word): each item that a document
+    holds, at the place that has the most of it."""
+    named = materialize(_words(benchmark, item_col, item_text, "item_id").filter(F.size("w") > 0), "bench-items")
+    items = materialize(named.select("w").distinct().withColumn("item", F.monotonically_increasing_id()), "bench-words")
+    short = [r["n"] for r in items.select(F.size("w").alias("n")).filter(F.col("n") <= MASKS[0][-1]).distinct().collect()]  # a few small numbers
+    masks = [*MASKS, *[tuple(range(n)) for n in sorted(short)]]
+    at = [_positions(m) if k < len(MASKS) else F.when(F.size("w") == len(m), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")) for k, m in enumerate(masks)]
+    bench = materialize(_seeds(items, ["item"], masks, at).withColumnRenamed("at", "item_at"), "bench-seeds")
+    bitmap, size = _bitmap(bench)
+    scanned = _words(docs, id_col, text_col, "doc_id").select("doc_id", "w", *[_met(m, bitmap, size).alias(f"p{k}") for k, m in enumerate(masks)])
+    # the row numbers are written with the rows: all that follows reads them, none makes them again
+    held = materialize(scanned.filter(" OR ".join(f"size(p{k}) > 0" for k in range(len(masks)))).withColumn("row", F.monotonically_increasing_id()), "bench-hits")
+    hits = _seeds(held, ["row"], masks, [F.col(f"p{k}") for k in range(len(masks))]).join(bench, "seed")
+    lined = hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    pair = Window.partitionBy("row", "item").orderBy("shift")
+    far = F.coalesce(F.col("shift") - F.lag("shift").over(pair) > SLACK, F.lit(False)).cast("int")
+    lined = lined.withColumn("far", far).withColumn("place", F.sum("far").over(pair)).drop("far")
+    lined = materialize(lined.join(items.select("item", F.size("w").alias("item_words")), "item"), "bench-aligned")
+    skipped = F.greatest(F.lit(0), -F.col("shift"))  # words of the item before the document's begin
+    stretch = F.slice("w", F.greatest(F.lit(0), F.col("shift")) + 1, F.col("item_words") - skipped)
+    met = lined.join(held.select("row", "doc_id", "w"), "row").select("row", "doc_id", "item", "item_words", "place", "shift", skipped.alias("skipped"), stretch.alias("dw"))
+    met = met.join(items, "item")
+    same = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda j: F.get(F.col("dw"), F.when(j >= F.col("skipped"), j - F.col("skipped")).otherwise(F.lit(-1))) == F.get(F.col("w"), j))
+    each = met.select("row", "doc_id", "item", "item_words", "place", "shift", F.explode(same).alias("j"))
+    found = each.groupBy("row", "doc_id", "item", "item_words", "place").agg(F.array_sort(F.collect_set("j")).alias("held"), F.min(F.greatest(F.col("shift"), F.lit(0))).alias("first_word"))
+    local = F.exists(F.sequence(F.lit(0), F.size("held") - LOCAL), lambda i: F.get(F.col("held"), i + LOCAL - 1) - F.get(F.col("held"), i) < LOCAL_SPAN)
+    enough = (F.size("held") >= min_coverage * F.col("item_words")) | F.when(F.size("held") >= LOCAL, local).otherwise(F.lit(False))
+    best = F.max(F.struct(F.size("held").alias("n"), (-F.col("first_word")).alias("at"))).alias("best")
+    found = found.filter(enough).groupBy("row", "doc_id", "item", "item_words").agg(best)
+    named = named.join(items, "w").select("item_id", "item")
+    coverage = F.round(F.col("best.n") / F.col("item_words"), 6)
+    return found.join(named, "item").select("doc_id", "item_id", F.col("best.n").cast("long").alias("n_matched"), F.col("item_words").cast("long"), coverage.alias("coverage"), (-F.col("best.at")).cast("long").alias("first_word"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, in which no item is found. Rows with a null id are
     judged by nothing and stay."""
-    found = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct()
+    found = contaminated(docs, benchmark, id_col, text_col, **options).filter("doc_id is not null").select(F.col("doc_id").alias("corpusmill_gone")).distinct()
     found = materialize(found, "bench-found")
-    return docs.join(found.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(found.hint("shuffle_hash"), docs[id_col].cast("long") == found["corpusmill_gone"], "left_anti")

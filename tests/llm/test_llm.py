@@ -81,12 +81,46 @@ def test_embedding_bounds_hamming(spark):
         assert row.m == want <= (a ^ b).bit_count()
 
 
-def test_decontamination_by_set_and_by_join(docs, none, bench):
-    for most in (50_000, 1):
-        found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs, bench, max_set=most).collect()}
-        assert set(found) == {(10, 0), (11, 0)} and found[10, 0] == 1 and 0.8 < found[11, 0] < 1
+def brute_contaminated(texts, items):
+    """{(text, item)} by all alignments: places are runs of shifts with a seed hit."""
+    import re
+
+    def words(t):
+        return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+
+    out = set()
+    for d, text in enumerate(texts):
+        w = words(text)
+        for k, item in enumerate(items):
+            iw = words(item)
+            masks = decontaminate.MASKS if len(iw) > 7 else [tuple(range(len(iw)))] if iw and (len(iw) >= 4 or len(w) == len(iw)) else []
+            shifts = sorted({i - j for m in masks for j in range(len(iw) - m[-1]) for i in range(len(w) - m[-1]) if all(w[i + o] == iw[j + o] for o in m)})
+            places = []
+            for s in shifts:
+                places.append([*places.pop(), s]) if places and s - places[-1][-1] <= decontaminate.SLACK else places.append([s])
+            for place in places:
+                held = sorted({j for s in place for j in range(len(iw)) if 0 <= j + s < len(w) and w[j + s] == iw[j]})
+                if 2 * len(held) >= len(iw) or any(b - a < 30 for a, b in zip(held, held[23:])):
+                    out.add((d, k))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, docs, none, bench):
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(found) == {(10, 0), (11, 0)} and found[10, 0] == 1 and 0.8 < found[11, 0] < 1
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert {r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()} == set(range(len(TEXTS))) - {10, 11}
+    r = random.Random(8)
+    items = [prose(n, 700 + n) for n in (9, 12, 30, 59, 100, 150)] + ["five short words in here", "two words", "", None, prose(30, 730)]
+    texts = [None, "", "Two, words!", "two words more", "and five short words in here too", prose(40, 1)]
+    for k, item in enumerate(items[:6]):
+        w = item.split()
+        for piece in (w, w[: len(w) // 2], w[len(w) // 3 :][:40], [x if r.random() > 0.15 else "zz" for x in w], w[: len(w) // 2] + ["zz", "zz"] + w[len(w) // 2 :], w[:10] + prose(300, 40 + k).split() + w[10:20]):
+            texts.append(" ".join([*prose(60, 800 + len(texts)).split(), *piece, *prose(60, 900 + len(texts)).split()]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == brute_contaminated(texts, items)
+    assert {k for _, k in got} >= {0, 1, 2, 3, 4, 5, 6, 7, 10}
 
 
 def test_repeated_passages_are_covered_and_cut(docs, none):
