@@ -3,12 +3,16 @@
 A text and a template are aligned on the words that occur exactly once in both: the longest
 increasing subsequence of these anchors is kept, and the gaps between them are aligned the same
 way, until no anchor is left; equal words next to anchors are then taken greedily. The aligned
-template words make the coverage.
+template words make the coverage. Words that name the licence (in braces in the template) must be
+aligned whatever the coverage, so that a notice of one licence is not taken for its neighbour's.
 
 The whole text is scanned for seeds, as many of a template's rarest words as any stretch of the
 least coverage must hold one of; the stretch around a seed is aligned if it has enough of the
-template's words; a notice given twice is found twice, since each stretch
-is aligned on its own. Null or empty texts have no licence; templates are a parameter."""
+template's words. A notice given twice is found twice, since each stretch is aligned on its own;
+of overlapping finds the one with most words stands, ties going to the earlier start, then to the
+licence's name. Null or empty texts have no licence; a null id's notices are rows with a null id;
+rows that repeat an id give their notices each; an empty table gives none. Other columns, whatever
+their names, are not read. Templates are a parameter."""
 
 from __future__ import annotations
 
@@ -16,34 +20,19 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import map_batches, text_or_empty
+from corpusmill.llm.license_texts import TEMPLATES
 
 MIN_COVERAGE = 0.8
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, template_words long, start_word long, end_word long"
 
-#: Notices and headers as projects print them, in words.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
-    "ISC": "Released under the ISC License",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-    "Proprietary": "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited",
-}
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -93,53 +82,64 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Template:
+    def __init__(self, name: str, text: str, min_coverage: float) -> None:
+        self.name, self.words, self.phrases = name, [], []
+        for k, part in enumerate(re.split(r"[{}]", text)):
+            words = words_of(part)
+            if k % 2 and words:
+                self.phrases.append((len(self.words), len(self.words) + len(words)))
+            self.words += words
+        self.known = set(self.words)
+        self.need = next((m for m in range(1, len(self.words) + 1) if m / len(self.words) >= min_coverage), None)
+
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        """If the words of each phrase are aligned, next to one another."""
+        place = {j: i for i, j in pairs}
+        return all(all(place.get(j, -1) == place.get(a, -9) + j - a for j in range(a, b)) for a, b in self.phrases)
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], min_coverage: float) -> None:
-        self.templates = {name: words_of(t) for name, t in templates.items()}
-        shared = Counter(w for t in self.templates.values() for w in set(t))
-        self.rare: dict[str, list[str]] = defaultdict(list)
-        self.need: dict[str, int] = {}
-        for name, t in self.templates.items():
-            need = next((m for m in range(1, len(t) + 1) if m / len(t) >= min_coverage), None)
-            if need is None:  # nothing reaches the coverage
-                continue
-            self.need[name] = need
-            times, spare = Counter(t), len(t) - need
+    def __init__(self, templates: dict[str, str] | tuple[tuple[str, str], ...], min_coverage: float) -> None:
+        pairs = templates.items() if isinstance(templates, dict) else templates
+        self.templates = [t for t in (Template(n, x, min_coverage) for n, x in pairs) if t.need is not None]
+        shared = Counter(w for t in self.templates for w in t.known)
+        self.rare: dict[str, list[int]] = defaultdict(list)
+        for k, t in enumerate(self.templates):
+            times, spare = Counter(t.words), len(t.words) - t.need
             for w in sorted(times, key=lambda w: (shared[w], -len(w), w)):
-                self.rare[w].append(name)
+                self.rare[w].append(k)
                 spare -= times[w]
                 if spare < 0:
                     break
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(licence, coverage, matched, template words, start, end), best first where they overlap."""
-        lowered = text.lower()
-        if not any(w in lowered for w in self.rare):
-            return []
         words = words_of(text)
         seeds = defaultdict(list)
         for i, w in enumerate(words):
-            for name in self.rare.get(w, ()):
-                seeds[name].append(i)
+            for k in self.rare.get(w, ()):
+                seeds[k].append(i)
         found = []
-        for name, at in seeds.items():
-            template, need = self.templates[name], self.need[name]
-            known = set(template)
-            reach = len(template) + len(template) // 2 + 2
+        for k, at in seeds.items():
+            t = self.templates[k]
+            n = len(t.words)
+            reach = n + n // 2 + 2
+            lo, hi = max(0, at[0] - reach), min(len(words), at[-1] + reach)
+            inside = list(accumulate((w in t.known for w in words[lo:hi]), initial=0))
             done = -1
             for i in at:
                 if i < done:
                     continue
-                lo, hi = max(0, i - reach, done), min(len(words), i + reach)
-                if sum(w in known for w in words[lo:hi]) < need:
+                a, b = max(0, i - reach, done), min(len(words), i + reach)
+                if inside[b - lo] - inside[a - lo] < t.need:
                     continue
-                pairs = align(words[lo:hi], template)
-                coverage = len(pairs) / len(template)
-                if len(pairs) >= need:
+                pairs = align(words[a:b], t.words)
+                if len(pairs) >= t.need and t.named(pairs):
                     # a stretch far longer than its words is chance, not a notice
-                    start, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
-                    if end - start <= 2 * len(template):
-                        found.append((name, coverage, len(pairs), len(template), start, end))
+                    start, end = a + pairs[0][0], a + pairs[-1][0] + 1
+                    if end - start <= 2 * n:
+                        found.append((t.name, len(pairs) / n, len(pairs), n, start, end))
                         done = end
         found.sort(key=lambda f: (-f[2] * f[1], f[4], f[0]))
         kept: list = []
@@ -149,7 +149,7 @@ class Scanner:
         return sorted(kept, key=lambda f: f[4])
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | tuple[tuple[str, str], ...] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per notice found; positions are in words of letters and digits."""
     templates = templates or TEMPLATES
 
