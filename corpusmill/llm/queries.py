@@ -39,7 +39,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.with_source(load(spark, sf_dir, "pages"))
-    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", F.md5("block").alias("block_md5"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", F.to_json("headers").alias("headers"), F.md5("block").alias("block_md5"), F.when(F.col("warc_type") != "response", warc.text_of(F.col("block"))).alias("text"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
