@@ -3,9 +3,9 @@
 A seed hashes the words at the set positions of a fixed mask, so that a substituted word at an
 ignored position does not hide a copy. Seeds of every position of every document are joined with
 those of the benchmark. A bitmap of the benchmark's seeds, a literal in the scan, passes over
-nearly all positions before that: it takes 64 bits a seed, MAX_BITS bits at most (beyond that more
-positions survive it, and the result stays the same), so that one plan serves any benchmark and
-only documents with a hit are written and shuffled.
+nearly all positions before that: it takes BITS bits a seed, MAX_BITS bits at most (beyond that more
+positions survive it, and the result stays the same), so that one plan serves any benchmark. Only
+documents with a hit are read a second time, for their words.
 
 Each hit aligns the item with one place of the document. Alignments whose shifts follow one another
 by at most SLACK words (insertions, deletions) are one place; the equal words of all alignments of a
@@ -34,7 +34,9 @@ MIN_COVERAGE = 0.5
 LOCAL, LOCAL_SPAN = 24, 30
 SLACK = 3
 MIN_ITEM = 4
-MAX_BITS = 1 << 26
+BITS, MAX_BITS = 64, 1 << 26
+#: Positions of a text that are laid out at once.
+CHUNK = 4096
 
 
 def word_array(text: Column) -> Column:
@@ -43,35 +45,39 @@ def word_array(text: Column) -> Column:
 
 
 def _words(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(name, row, w): row is a hash of id and text, alike in every scan of the table."""
+    text = text_or_empty(text_col)
     # the generator keeps the split from being repeated inside lambdas
-    return df.select(F.col(id_col).cast("long").alias(name), F.explode(F.array(word_array(text_or_empty(text_col)))).alias("w"))
+    return df.select(F.col(id_col).cast("long").alias(name), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.explode(F.array(word_array(text))).alias("w"))
 
 
-def _seed(mask: tuple[int, ...], i: Column) -> Column:
-    return F.xxhash64(F.lit(len(mask) << 8 | mask[-1]), *[F.get(F.col("w"), i + o) for o in mask])
+def _places(words: DataFrame, keys: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """(keys, n, at, s0, s1, ...): a row for each position of w, with the seed of each mask there, null
+    where the words end before the mask does. Long texts come in pieces of CHUNK positions."""
+    offsets = sorted({o for m in masks for o in m})
+    hashed = words.select(*keys, F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    pieces = hashed.select(*keys, "n", "h", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(CHUNK))).alias("base"))
+    shifted = pieces.select(*keys, "n", "base", *[F.slice("h", F.col("base") + 1 + o, F.lit(CHUNK)).alias(f"h{o}") for o in offsets])
+    each = shifted.select(*keys, "n", "base", F.posexplode(F.arrays_zip(*[f"h{o}" for o in offsets])).alias("p", "z"))
+    seeds = []
+    for k, m in enumerate(masks):
+        able = F.col(f"z.h{m[-1]}").isNotNull()
+        if len(m) < MIN_ITEM:
+            able = able & (F.col("n") == len(m))
+        seeds.append(F.when(able, F.xxhash64(F.lit(k), *[F.col(f"z.h{o}") for o in m])).alias(f"s{k}"))
+    return each.select(*keys, "n", (F.col("base") + F.col("p")).alias("at"), *seeds)
 
 
-def _placed(mask: tuple[int, ...]):
-    return lambda i: F.struct(i.alias("at"), _seed(mask, i).alias("seed"))
-
-
-def _positions(mask: tuple[int, ...]) -> Column:
-    last = F.size("w") - (mask[-1] + 1)
-    able = last == 0 if len(mask) < MIN_ITEM else last >= 0
-    return F.when(able, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
-
-def _seeds(words: DataFrame, keys: list[str], masks: list[tuple[int, ...]], at: list[Column]) -> DataFrame:
-    """(keys, at, seed): one row a mask and position."""
-    parts = [F.transform(a, _placed(m)) for a, m in zip(at, masks)]
-    return words.select(*keys, F.explode(F.concat(*parts)).alias("s")).select(*keys, "s.at", "s.seed")
+def _listed(places: DataFrame, keys: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """(keys, at, seed): one row a seed."""
+    return places.select(*keys, "at", F.explode(F.array_compact(F.array(*[f"s{k}" for k in range(len(masks))]))).alias("seed"))
 
 
 def _bitmap(bench: DataFrame) -> tuple[Column, int]:
     """The seeds' bits as a literal array of longs, and how many bits it has."""
     size = 1024
     n = bench.count()
-    while size < min(64 * n, MAX_BITS):
+    while size < min(BITS * n, MAX_BITS):
         size *= 2
     words = [0] * (size // 64)
     cell = F.shiftright(F.col("seed").bitwiseAND(F.lit(size - 1)), 6)
@@ -81,50 +87,51 @@ def _bitmap(bench: DataFrame) -> tuple[Column, int]:
     return F.from_json(F.lit(json.dumps(words)), "array<bigint>"), size
 
 
-def _met(mask: tuple[int, ...], bitmap: Column, size: int) -> Column:
-    """The positions whose seed's bit is set."""
-
-    def hit(i: Column) -> Column:
-        seed = _seed(mask, i)
-        held = F.get(bitmap, F.shiftright(seed.bitwiseAND(F.lit(size - 1)), 6).cast("int"))
-        return F.getbit(held, seed.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    return F.filter(_positions(mask), hit)
+def _known(seed: Column, bitmap: Column, size: int) -> Column:
+    """The seed, or null if its bit says that no item has it."""
+    held = F.get(bitmap, F.shiftright(seed.bitwiseAND(F.lit(size - 1)), 6).cast("int"))
+    return F.when(F.getbit(held, seed.bitwiseAND(F.lit(63)).cast("int")) == 1, seed)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_matched, item_words, coverage, first_word): each item that a document
     holds, at the place that has the most of it."""
-    named = materialize(_words(benchmark, item_col, item_text, "item_id").filter(F.size("w") > 0), "bench-items")
+    named = materialize(_words(benchmark, item_col, item_text, "item_id").filter(F.size("w") > 0).select("item_id", "w"), "bench-items")
     items = materialize(named.select("w").distinct().withColumn("item", F.monotonically_increasing_id()), "bench-words")
     short = [r["n"] for r in items.select(F.size("w").alias("n")).filter(F.col("n") <= MASKS[0][-1]).distinct().collect()]  # a few small numbers
     masks = [*MASKS, *[tuple(range(n)) for n in sorted(short)]]
-    at = [_positions(m) if k < len(MASKS) else F.when(F.size("w") == len(m), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")) for k, m in enumerate(masks)]
-    bench = materialize(_seeds(items, ["item"], masks, at).withColumnRenamed("at", "item_at"), "bench-seeds")
+    own = [f"s{k}" if k < len(MASKS) else F.when((F.col("n") == len(m)) & (F.col("at") == 0), F.col(f"s{k}")).alias(f"s{k}") for k, m in enumerate(masks)]
+    bench = materialize(_listed(_places(items, ["item"], masks).select("item", "at", *own), ["item"], masks).withColumnRenamed("at", "item_at"), "bench-seeds")
     bitmap, size = _bitmap(bench)
-    scanned = _words(docs, id_col, text_col, "doc_id").select("doc_id", "w", *[_met(m, bitmap, size).alias(f"p{k}") for k, m in enumerate(masks)])
-    # the row numbers are written with the rows: all that follows reads them, none makes them again
-    held = materialize(scanned.filter(" OR ".join(f"size(p{k}) > 0" for k in range(len(masks)))).withColumn("row", F.monotonically_increasing_id()), "bench-hits")
-    hits = _seeds(held, ["row"], masks, [F.col(f"p{k}") for k in range(len(masks))]).join(bench, "seed")
-    lined = hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    pair = Window.partitionBy("row", "item").orderBy("shift")
+    keys = ["row", "doc_id"]
+    seen = [_known(F.col(f"s{k}"), bitmap, size).alias(f"s{k}") for k in range(len(masks))]
+    places = _places(_words(docs, id_col, text_col, "doc_id"), keys, masks).select(*keys, "at", *seen).filter(" OR ".join(f"s{k} IS NOT NULL" for k in range(len(masks))))
+    hits = _listed(places, keys, masks).join(bench, "seed")
+    aligned = materialize(hits.select(*keys, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "bench-aligned")
+    # documents with a hit, once for all rows alike in id and text
+    met_rows = aligned.select("row").distinct()
+    held = _words(docs, id_col, text_col, "doc_id").join(met_rows.hint("shuffle_hash"), "row", "left_semi")
+    held = materialize(held.groupBy("row", "doc_id", "w").agg(F.count(F.lit(1)).alias("copies")), "bench-hits")
+    pair = Window.partitionBy("row", "doc_id", "item").orderBy("shift")
     far = F.coalesce(F.col("shift") - F.lag("shift").over(pair) > SLACK, F.lit(False)).cast("int")
-    lined = lined.withColumn("far", far).withColumn("place", F.sum("far").over(pair)).drop("far")
-    lined = materialize(lined.join(items.select("item", F.size("w").alias("item_words")), "item"), "bench-aligned")
+    lined = aligned.withColumn("far", far).withColumn("place", F.sum("far").over(pair)).drop("far")
+    lined = lined.join(items.select("item", F.size("w").alias("item_words")), "item")
     skipped = F.greatest(F.lit(0), -F.col("shift"))  # words of the item before the document's begin
     stretch = F.slice("w", F.greatest(F.lit(0), F.col("shift")) + 1, F.col("item_words") - skipped)
-    met = lined.join(held.select("row", "doc_id", "w"), "row").select("row", "doc_id", "item", "item_words", "place", "shift", skipped.alias("skipped"), stretch.alias("dw"))
+    same_doc = (lined["row"] == held["row"]) & lined["doc_id"].eqNullSafe(held["doc_id"])
+    met = lined.join(held, same_doc).select(lined["row"], lined["doc_id"], "copies", "item", "item_words", "place", "shift", skipped.alias("skipped"), stretch.alias("dw"))
     met = met.join(items, "item")
     same = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda j: F.get(F.col("dw"), F.when(j >= F.col("skipped"), j - F.col("skipped")).otherwise(F.lit(-1))) == F.get(F.col("w"), j))
-    each = met.select("row", "doc_id", "item", "item_words", "place", "shift", F.explode(same).alias("j"))
-    found = each.groupBy("row", "doc_id", "item", "item_words", "place").agg(F.array_sort(F.collect_set("j")).alias("held"), F.min(F.greatest(F.col("shift"), F.lit(0))).alias("first_word"))
+    each = met.select("row", "doc_id", "copies", "item", "item_words", "place", "shift", F.explode(same).alias("j"))
+    found = each.groupBy("row", "doc_id", "copies", "item", "item_words", "place").agg(F.array_sort(F.collect_set("j")).alias("held"), F.min(F.greatest(F.col("shift"), F.lit(0))).alias("first_word"))
     local = F.exists(F.sequence(F.lit(0), F.size("held") - LOCAL), lambda i: F.get(F.col("held"), i + LOCAL - 1) - F.get(F.col("held"), i) < LOCAL_SPAN)
     enough = (F.size("held") >= min_coverage * F.col("item_words")) | F.when(F.size("held") >= LOCAL, local).otherwise(F.lit(False))
     best = F.max(F.struct(F.size("held").alias("n"), (-F.col("first_word")).alias("at"))).alias("best")
-    found = found.filter(enough).groupBy("row", "doc_id", "item", "item_words").agg(best)
+    found = found.filter(enough).groupBy("row", "doc_id", "copies", "item", "item_words").agg(best)
     named = named.join(items, "w").select("item_id", "item")
     coverage = F.round(F.col("best.n") / F.col("item_words"), 6)
-    return found.join(named, "item").select("doc_id", "item_id", F.col("best.n").cast("long").alias("n_matched"), F.col("item_words").cast("long"), coverage.alias("coverage"), (-F.col("best.at")).cast("long").alias("first_word"))
+    found = found.join(named, "item").withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+    return found.select("doc_id", "item_id", F.col("best.n").cast("long").alias("n_matched"), F.col("item_words").cast("long"), coverage.alias("coverage"), (-F.col("best.at")).cast("long").alias("first_word"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
