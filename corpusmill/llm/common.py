@@ -47,12 +47,22 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_once(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write df as Parquet; its shuffle files, which nothing reads after that, go at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    write_once(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

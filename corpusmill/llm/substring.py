@@ -1,7 +1,7 @@
 """Repeated passages across documents by compact windows.
 
 A token is the hash of 3 consecutive words (ASCII white space apart, A-Z lower-cased). Under each
-of 8 hash functions the tokens of a text form a Cartesian tree; a node whose subtree spans a
+of 6 hash functions the tokens of a text form a Cartesian tree; a node whose subtree spans a
 passage of 50 words (WINDOW tokens) is a compact window (left, centre, right): all subsequences
 within it that hold the centre share their min-hash. The functions make BANDS pairs. Within a text
 an interval join of the two functions' windows gives the groups of passages that agree under both;
@@ -11,14 +11,15 @@ an exact passage of 50 words has a common key in every band.
 
 A key's members are never paired up: each is tied to the member of the least document. That
 document may hold less of a passage than later ones share, in two ways:
-- exact repeats: where the surroundings of a key of band 0 differ (all passages of 50 words that
-  hold both centres), its members are grouped once more by each of these passages and tied to the
-  first document that holds the passage. So exact repeats of 50 words and over are always found.
+- exact repeats: members of a key of band 0 whose surroundings (all passages of 50 words that hold
+  both centres) differ from the least document's are grouped once more by each of these passages
+  and tied to the first document that holds the passage. So exact repeats of 50 words and over are always found.
 - near repeats: members whose tie gave no passage are grouped once more by two keys at once (four
   agreeing min-hashes), and tied to the least document of that group.
-Ties give alignments (two documents and a shift), whose words are compared over the whole texts;
+Ties give alignments (two documents, a shift and the places of its ties), whose words, by 16 bits
+of their hashes, are compared from MARGIN words before the first tie to as many behind the last;
 runs of RUN words that a substitution or a gap of up to GAP words separates are chained, and
-chains of 50 words and over are the passages.
+chains of 50 words and over are the passages. What lies further off has ties of its own.
 
 Null texts are empty; texts below 50 words have no window. Repeats within one document do not
 count, nor rows without an id, which are neither cut nor partners. Rows that repeat an id and its
@@ -40,11 +41,12 @@ from corpusmill.llm.common import map_batches, materialize, text_or_empty
 GRAM = 3
 PASSAGE = 50
 WINDOW = PASSAGE - GRAM + 1
-BANDS = 4
+BANDS = 3
 BASE = np.uint64(0x5851F42D4C957F2D)
 INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 #: A chain may cross this many words that differ, if runs of at least RUN words surround them.
 GAP, RUN = 3, 6
+MARGIN = 2 * PASSAGE
 #: Two keys of a near repeat's second grouping begin at least this many words apart.
 SPREAD = 12
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
@@ -169,11 +171,12 @@ def _joined(f: tuple[np.ndarray, ...], g: tuple[np.ndarray, ...]) -> tuple[np.nd
 
 
 def passage_keys(h: np.ndarray, edges: np.ndarray, powers: _Powers) -> tuple[np.ndarray, ...]:
-    """(text, key, mark, surroundings of band 0) of all keys. A mark holds where the first centre
-    begins in its text, how many words both centres take, and if the text has the key first here."""
+    """(text, key, mark) of all keys. A mark packs where the first centre begins in its text, 28 bits
+    of the surroundings' hash (band 0 only), how many words both centres take, and whether the text
+    has the key for the first time here."""
     n, texts = len(h), np.zeros(0, dtype=np.int64)
     if n < PASSAGE:
-        return texts, texts, texts, texts
+        return texts, texts, texts
     sums = powers.sums(h)
     at = np.arange(n - GRAM + 1)
     tokens = np.zeros(n, dtype=np.uint64)
@@ -195,11 +198,11 @@ def passage_keys(h: np.ndarray, edges: np.ndarray, powers: _Powers) -> tuple[np.
         around = np.zeros(len(lo), dtype=np.int64)
         if band == 0:
             s, e = np.maximum(hi - PASSAGE, edges[text]), np.minimum(lo + PASSAGE, edges[text + 1])
-            around = _mixed(powers.span(sums, s, e) + ((lo - s) << 8 | (e - lo)).astype(np.uint64), 3).view(np.int64)
+            around = (_mixed(powers.span(sums, s, e) + ((lo - s) << 8 | (e - lo)).astype(np.uint64), 3) >> np.uint64(36)).view(np.int64)
         order = np.lexsort((lo, key, text))
         new = np.ones(len(lo), dtype=np.int64)
         new[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-        out.append((text, key.view(np.int64), (lo - edges[text]) << 8 | (hi - lo) << 1 | new, around))
+        out.append((text, key.view(np.int64), (lo - edges[text]) << 36 | around << 8 | (hi - lo) << 1 | new))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -207,16 +210,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        text, key, mark, around = passage_keys(*word_hashes(batch.column(1), powers), powers)
+        text, key, mark = passage_keys(*word_hashes(batch.column(1), powers), powers)
         if len(text):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[text], mark, around)], names=["key", "doc", "mark", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[text], mark)], names=["key", "doc", "mark"])
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
         h, edges = word_hashes(batch.column(1), powers)
-        h = h.astype(np.uint32)
+        h = h.astype(np.uint16)
         rows = [h[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc", "hashes"])
 
@@ -227,12 +230,12 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, grams, places = [], [], []
         for doc, marks, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-            h = np.frombuffer(hashes, dtype=np.uint32).astype(np.uint64)
+            h = np.frombuffer(hashes, dtype=np.uint16).astype(np.uint64)
             if len(h) < PASSAGE:
                 continue
             sums = powers.sums(_mixed(h, 4))
             mark = np.array(marks, dtype=np.int64)
-            lo = mark >> 8
+            lo = mark >> 36
             edge = np.zeros(len(h) + 2, dtype=np.int64)
             np.add.at(edge, np.maximum(lo + (mark >> 1 & 127) - PASSAGE, 0), 1)
             np.add.at(edge, lo + 1, -1)
@@ -248,24 +251,37 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep[k] = False
                 else:
                     last[g] = p
-            at, gram = at[keep], gram[keep]
-            ids.append(np.full(len(at), doc, dtype=np.int64))
-            grams.append(gram.view(np.int64))
-            places.append(at)
+            new = np.ones(len(at), dtype=np.int64)
+            new[order[again]] = 0
+            ids.append(np.full(int(keep.sum()), doc, dtype=np.int64))
+            grams.append(gram[keep].view(np.int64))
+            places.append((at << 1 | new)[keep])
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, ids, places)], names=["gram", "doc", "at"])
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of lists of structs of numbers: where each list begins and ends, and the fields' values."""
+    return column.offsets.to_numpy(), [column.values.field(k).to_numpy(zero_copy_only=False) for k in range(column.values.type.num_fields)]
+
+
 def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of keys whose tie gave no passage at their place, each two within a passage as one key."""
     for batch in batches:
         out = []
-        for doc, keys, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            spans = sorted((s["start_word"], s["end_word"]) for s in spans or ())
-            ends = np.maximum.accumulate([e for _, e in spans]) if spans else []
-            at = np.searchsorted([s for s, _ in spans], [k["start"] for k in keys], "right") - 1
-            left = sorted((k["start"], k["key"]) for k, i in zip(keys, at.tolist()) if i < 0 or ends[i] <= k["start"])
-            start, key = np.array([x for x, _ in left], dtype=np.int64), np.array([k for _, k in left], dtype=np.int64).view(np.uint64)
+        keys_at, (all_keys, all_starts) = _lists(batch.column(1))
+        spans_at, (all_s, all_e) = _lists(batch.column(2))
+        for n, doc in enumerate(batch.column(0).to_pylist()):
+            key, start = all_keys[keys_at[n] : keys_at[n + 1]].view(np.uint64), all_starts[keys_at[n] : keys_at[n + 1]]
+            s, e = all_s[spans_at[n] : spans_at[n + 1]], all_e[spans_at[n] : spans_at[n + 1]]
+            if len(s):
+                order = np.argsort(s)
+                ends = np.maximum.accumulate(e[order])
+                at = np.searchsorted(s[order], start, "right") - 1
+                left = (at < 0) | (ends[at] <= start)
+                key, start = key[left], start[left]
+            order = np.lexsort((key, start))
+            key, start = key[order], start[order]
             low, high = np.searchsorted(start, start + SPREAD), np.searchsorted(start, start + WINDOW)
             count = high - low
             if not count.sum():
@@ -287,12 +303,14 @@ def _runs(equal: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[long].tolist(), ends[long].tolist()))
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int, int]]:
+def shared_passages(a: np.ndarray, b: np.ndarray, shifts: list[int] | dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, partner start, partner end) in words: chains of at least PASSAGE words of a,
-    over the alignments a[i] ~ b[i + shift]."""
+    over the alignments a[i] ~ b[i + shift]; a dict bounds i of each shift."""
     pieces = []
+    ranges = shifts if isinstance(shifts, dict) else {}
     for shift in sorted(set(shifts)):
-        lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+        least, most = ranges.get(shift, (0, len(a)))
+        lo, hi = max(0, -shift, least), min(len(a), len(b) - shift, most)
         if hi > lo:
             pieces += [(lo + s, lo + e, shift) for s, e in _runs(a[lo:hi] == b[lo + shift : hi + shift])]
     pieces.sort()
@@ -331,9 +349,10 @@ SPAN_SCHEMA = "doc long, start_word long, end_word long, other long, partner_sta
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, other, shifts, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-            out += [(doc, s, e, other, ps, pe) for s, e, ps, pe in shared_passages(a, b, shifts)]
+        for doc, other, lines, a0, b0, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = np.frombuffer(a, dtype=np.uint16), np.frombuffer(b, dtype=np.uint16)
+            ranges = {x["shift"] + a0 - b0: (x["lo"] - a0 - MARGIN, x["hi"] - a0 + PASSAGE + MARGIN) for x in lines}
+            out += [(doc, s + a0, e + a0, other, ps + b0, pe + b0) for s, e, ps, pe in shared_passages(a, b, ranges)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "start_word", "end_word", "other", "partner_start", "partner_end"])
 
@@ -357,33 +376,47 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     return materialize(met.select(F.coalesce("number", "doc").alias("doc"), "text").distinct(), "passage-texts"), names
 
 
-def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """pairs (doc, other, shift) -> verified passages."""
-    pairs = pairs.groupBy("doc", "other").agg(F.collect_set("shift").alias("shifts"))
-    met = pairs.join(hashed, "doc").join(hashed.withColumnsRenamed({"doc": "other", "hashes": "other_hashes"}), "other").select("doc", "other", "shifts", "hashes", "other_hashes")
+def _lines(ties: DataFrame) -> DataFrame:
+    """ties (doc, other, shift, start) -> where each alignment has its first and last tie."""
+    return ties.groupBy("doc", "other", "shift").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+
+
+def _aligned(lines: DataFrame, hashed: DataFrame) -> DataFrame:
+    """Alignments -> verified passages. Of both texts only the words around the ties travel."""
+    low, high = F.greatest(F.lit(0), F.col("low") - MARGIN), F.col("high") + PASSAGE + MARGIN
+    pairs = lines.groupBy("doc", "other").agg(
+        F.collect_list(F.struct("shift", "lo", "hi")).alias("lines"), F.min("lo").alias("low"), F.max("hi").alias("high"),
+        F.min(F.col("lo") + F.col("shift")).alias("other_low"), F.max(F.col("hi") + F.col("shift")).alias("other_high"),
+    )
+    pairs = pairs.select("doc", "other", "lines", low.alias("a0"), high.alias("a1"), F.greatest(F.lit(0), F.col("other_low") - MARGIN).alias("b0"), (F.col("other_high") + PASSAGE + MARGIN).alias("b1"))
+
+    def part(lo: str, hi: str):
+        return F.substring("hashes", (2 * F.col(lo) + 1).cast("int"), (2 * (F.col(hi) - F.col(lo))).cast("int"))
+
+    met = pairs.join(hashed, "doc").select("doc", "other", "lines", "a0", "b0", "b1", part("a0", "a1").alias("a"))
+    met = met.join(hashed.withColumnRenamed("doc", "other"), "other").select("doc", "other", "lines", "a0", "b0", "a", part("b0", "b1").alias("b"))
     return map_batches(met, _verify, SPAN_SCHEMA)
 
 
 def _spans(texts: DataFrame, same: DataFrame | None) -> DataFrame:
     def windows() -> DataFrame:
-        return map_batches(texts, _window_rows, "key long, doc long, mark long, around long")
-
-    start = F.shiftright("mark", 8)
-    # the least document's first place of the key; all four are plain numbers, merged before the shuffle
-    first = windows().groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.expr("min_by(mark, doc) FILTER (WHERE mark & 1 = 1)").alias("mark"), (F.min("around") < F.max("around")).alias("mixed"))
-    first = materialize(first.filter("other < last").select("key", "other", start.alias("other_start"), "mixed"), "passage-groups")
-    tied = windows().select("key", "doc", "mark").join(first.hint("shuffle_hash"), "key").filter("doc <> other OR mixed")
-    tied = materialize(tied.select("key", "doc", "other", start.alias("start"), (F.col("other_start") - start).alias("shift"), F.when(F.col("mixed"), F.col("mark")).alias("mark")), "passage-ties")
-    aligned = tied.filter("doc <> other").select("doc", "other", "shift")
+        return map_batches(texts, _window_rows, "key long, doc long, mark long")
+
+    start, around = (lambda m: F.shiftright(m, 36)), (lambda m: F.shiftright(m, 8).bitwiseAND(F.lit((1 << 28) - 1)))
+    # the least document's first mark of the key: plain numbers, merged before the shuffle
+    first = windows().groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.expr("min_by(mark, doc) FILTER (WHERE mark & 1 = 1)").alias("other_mark"))
+    first = materialize(first.filter("other < last").select("key", "other", "other_mark"), "passage-groups")
+    tied = windows().join(first.hint("shuffle_hash"), "key").withColumn("apart", around("mark") != around("other_mark")).filter("doc <> other OR apart")
+    tied = materialize(tied.select("key", "doc", "other", start("mark").alias("start"), (start("other_mark") - start("mark")).alias("shift"), F.when(F.col("apart"), F.col("mark")).alias("mark")), "passage-ties")
+    aligned = tied.filter("doc <> other").select("doc", "other", "shift", "start")
     needed = tied.select("doc").unionByName(aligned.select(F.col("other").alias("doc"))).distinct()
     hashed = materialize(map_batches(texts.join(needed.hint("shuffle_hash"), "doc", "left_semi"), _hash_rows, "doc long, hashes binary"), "passage-words")
     marks = tied.filter("mark IS NOT NULL").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
-    grams = materialize(map_batches(hashed.join(marks, "doc").select("doc", "marks", "hashes"), _gram_rows, "gram long, doc long, at long"), "passage-grams")
-    holder = grams.groupBy("gram").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).filter("other < last").select("gram", "other")
-    held = grams.join(holder.hint("shuffle_hash"), "gram")
-    place = held.filter("doc = other").groupBy("gram").agg(F.min("at").alias("other_at"))
-    held = held.filter("doc <> other").join(place, "gram").select("doc", "other", (F.col("other_at") - F.col("at")).alias("shift"))
-    pairs = aligned.unionByName(held).distinct()
+    grams = materialize(map_batches(hashed.join(marks, "doc").select("doc", "marks", "hashes"), _gram_rows, "gram long, doc long, mark long"), "passage-grams")
+    holder = grams.groupBy("gram").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.expr("min_by(mark, doc) FILTER (WHERE mark & 1 = 1)").alias("other_mark")).filter("other < last").drop("last")
+    held = grams.join(holder.hint("shuffle_hash"), "gram").filter("doc <> other")
+    held = held.select("doc", "other", (F.shiftright("other_mark", 1) - F.shiftright("mark", 1)).alias("shift"), F.shiftright("mark", 1).alias("start"))
+    pairs = _lines(aligned.unionByName(held))
     if same is not None:
         pairs = _of_other_ids(pairs, same)
     pairs = materialize(pairs, "passage-pairs")
@@ -391,10 +424,10 @@ def _spans(texts: DataFrame, same: DataFrame | None) -> DataFrame:
     # near repeats whose tie failed: two keys at once
     failed = tied.filter("doc <> other").groupBy("doc").agg(F.collect_set(F.struct("key", "start")).alias("keys"))
     found = spans.groupBy("doc").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    more = materialize(map_batches(failed.join(found, "doc", "left").select("doc", "keys", "spans"), _pair_keys, "key long, doc long, start long"), "passage-double")
+    more = materialize(map_batches(failed.join(found, "doc", "left").select("doc", "keys", F.coalesce("spans", F.array().cast("array<struct<start_word:bigint,end_word:bigint>>")).alias("spans")), _pair_keys, "key long, doc long, start long"), "passage-double")
     least = more.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last"), F.min_by("start", "doc").alias("other_start")).filter("other < last")
-    again = more.join(least.drop("last").hint("shuffle_hash"), "key").filter("doc <> other").select("doc", "other", (F.col("other_start") - F.col("start")).alias("shift")).distinct()
-    again = again.join(pairs, ["doc", "other", "shift"], "left_anti")
+    again = more.join(least.drop("last").hint("shuffle_hash"), "key").filter("doc <> other").select("doc", "other", (F.col("other_start") - F.col("start")).alias("shift"), "start")
+    again = _lines(again).join(pairs, ["doc", "other", "shift"], "left_anti")
     if same is not None:
         again = _of_other_ids(again, same)
     return spans.unionByName(_aligned(again, hashed))
@@ -403,7 +436,7 @@ def _spans(texts: DataFrame, same: DataFrame | None) -> DataFrame:
 def _of_other_ids(pairs: DataFrame, same: DataFrame) -> DataFrame:
     """Without pairs of rows that share their id."""
     a, b = same.select(F.col("number").alias("doc"), F.col("doc_id").alias("id_a")), same.select(F.col("number").alias("other"), F.col("doc_id").alias("id_b"))
-    return pairs.join(a, "doc", "left").join(b, "other", "left").filter("coalesce(id_a, doc) <> coalesce(id_b, other)").select("doc", "other", "shift")
+    return pairs.join(a, "doc", "left").join(b, "other", "left").filter("coalesce(id_a, doc) <> coalesce(id_b, other)").drop("id_a", "id_b")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,10 +479,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay as they are; rows that repeat an id and its text are cut alike."""
     spans = repeated_passages(docs, id_col, text_col).groupBy("doc_id", "text_digest").agg(F.collect_set(F.struct("start_word", "end_word")).alias(SPANS))
     spans = materialize(spans.withColumnsRenamed({"doc_id": OF, "text_digest": DIGEST}), "passage-spans")
-    met = docs[id_col].cast("long") == F.col(OF)
-    if not spans.filter(F.col(DIGEST).isNotNull()).isEmpty():
-        met = met & F.coalesce(F.col(DIGEST) == F.xxhash64(text_or_empty(text_col)), F.lit(True))
-    joined = docs.join(spans.hint("shuffle_hash"), met, "left").select(*[docs[c] for c in docs.columns], SPANS)
+    met = docs[id_col].cast("long") == spans[OF]
+    if not spans.filter(spans[DIGEST].isNotNull()).isEmpty():
+        met = met & F.coalesce(spans[DIGEST] == F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), F.lit(True))
+    joined = docs.join(spans.hint("shuffle_hash"), met, "left").select(*[docs[c] for c in docs.columns], spans[SPANS])
+    joined = joined.toDF(*docs.columns, SPANS + "_" * sum(map(len, docs.columns)))  # a name that is longer than any other
     columns, t = docs.columns, docs.columns.index(text_col)
     n = columns.index(length_col) if length_col in columns else None
 
