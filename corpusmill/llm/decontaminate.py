@@ -44,11 +44,15 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def _words(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """(name, row, w): row is a hash of id and text, alike in every scan of the table."""
+def _rows(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(name, row, text): row is a hash of id and text, alike in every scan of the table."""
     text = text_or_empty(text_col)
+    return df.select(F.col(id_col).cast("long").alias(name), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
+
+
+def _words(rows: DataFrame, name: str) -> DataFrame:
     # the generator keeps the split from being repeated inside lambdas
-    return df.select(F.col(id_col).cast("long").alias(name), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.explode(F.array(word_array(text))).alias("w"))
+    return rows.select(name, "row", F.explode(F.array(word_array(F.col("text")))).alias("w"))
 
 
 def _places(words: DataFrame, keys: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
@@ -73,22 +77,22 @@ def _listed(places: DataFrame, keys: list[str], masks: list[tuple[int, ...]]) ->
     return places.select(*keys, "at", F.explode(F.array_compact(F.array(*[f"s{k}" for k in range(len(masks))]))).alias("seed"))
 
 
-def _bitmap(bench: DataFrame) -> tuple[Column, int]:
-    """The seeds' bits as a literal array of longs, and how many bits it has."""
+def _bitmap(hashes: DataFrame) -> tuple[Column, int]:
+    """The bits of hashes (seed) as a literal array of longs, and how many bits it has."""
     size = 1024
-    n = bench.count()
+    n = hashes.count()
     while size < min(BITS * n, MAX_BITS):
         size *= 2
     words = [0] * (size // 64)
     cell = F.shiftright(F.col("seed").bitwiseAND(F.lit(size - 1)), 6)
     bit = F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")
-    for r in bench.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits")).collect():  # size / 64 rows at most
+    for r in hashes.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits")).collect():  # size / 64 rows at most
         words[r["cell"]] = r["bits"]
     return F.from_json(F.lit(json.dumps(words)), "array<bigint>"), size
 
 
 def _known(seed: Column, bitmap: Column, size: int) -> Column:
-    """The seed, or null if its bit says that no item has it."""
+    """The seed, or null if its bit says that it is none of the bitmap's."""
     held = F.get(bitmap, F.shiftright(seed.bitwiseAND(F.lit(size - 1)), 6).cast("int"))
     return F.when(F.getbit(held, seed.bitwiseAND(F.lit(63)).cast("int")) == 1, seed)
 
@@ -96,7 +100,7 @@ def _known(seed: Column, bitmap: Column, size: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_matched, item_words, coverage, first_word): each item that a document
     holds, at the place that has the most of it."""
-    named = materialize(_words(benchmark, item_col, item_text, "item_id").filter(F.size("w") > 0).select("item_id", "w"), "bench-items")
+    named = materialize(_words(_rows(benchmark, item_col, item_text, "item_id"), "item_id").filter(F.size("w") > 0).select("item_id", "w"), "bench-items")
     items = materialize(named.select("w").distinct().withColumn("item", F.monotonically_increasing_id()), "bench-words")
     short = [r["n"] for r in items.select(F.size("w").alias("n")).filter(F.col("n") <= MASKS[0][-1]).distinct().collect()]  # a few small numbers
     masks = [*MASKS, *[tuple(range(n)) for n in sorted(short)]]
@@ -105,12 +109,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bitmap, size = _bitmap(bench)
     keys = ["row", "doc_id"]
     seen = [_known(F.col(f"s{k}"), bitmap, size).alias(f"s{k}") for k in range(len(masks))]
-    places = _places(_words(docs, id_col, text_col, "doc_id"), keys, masks).select(*keys, "at", *seen).filter(" OR ".join(f"s{k} IS NOT NULL" for k in range(len(masks))))
+    rows = _rows(docs, id_col, text_col, "doc_id")
+    places = _places(_words(rows, "doc_id"), keys, masks).select(*keys, "at", *seen).filter(" OR ".join(f"s{k} IS NOT NULL" for k in range(len(masks))))
     hits = _listed(places, keys, masks).join(bench, "seed")
     aligned = materialize(hits.select(*keys, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "bench-aligned")
-    # documents with a hit, once for all rows alike in id and text
-    met_rows = aligned.select("row").distinct()
-    held = _words(docs, id_col, text_col, "doc_id").join(met_rows.hint("shuffle_hash"), "row", "left_semi")
+    # documents with a hit, once for all rows alike in id and text; a bitmap again spares the others the join
+    met_rows = materialize(aligned.select(F.col("row").alias("seed")).distinct(), "bench-rows")
+    few = rows.filter(_known(F.col("row"), *_bitmap(met_rows)).isNotNull())
+    held = _words(few, "doc_id").join(met_rows, F.col("row") == F.col("seed"), "left_semi")
     held = materialize(held.groupBy("row", "doc_id", "w").agg(F.count(F.lit(1)).alias("copies")), "bench-hits")
     pair = Window.partitionBy("row", "doc_id", "item").orderBy("shift")
     far = F.coalesce(F.col("shift") - F.lag("shift").over(pair) > SLACK, F.lit(False)).cast("int")
