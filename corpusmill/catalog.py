@@ -118,7 +118,7 @@ def heading_shift(spark, sf):
     return assemble.shift_headings(documents(spark, sf, HEADED))
 
 
-@query(f"SELECT page_id, pos, href FROM (SELECT page_id, unnest(hs) AS href, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"'']+)[\"'']', 1) AS hs FROM pages)) WHERE NOT regexp_matches(href, '^(#|mailto:|javascript:)')")
+@query(f"SELECT page_id, pos, href FROM (SELECT page_id, unnest(hs) AS href, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']+)[\"'']', 1) AS hs FROM pages)) WHERE NOT regexp_matches(href, '^(#|mailto:|javascript:)')")
 def extract_links(spark, sf):
     return discovery.extract_links(table(spark, sf, "pages"), "page_id")
 
@@ -134,10 +134,10 @@ def lang_path_filter(spark, sf):
     return kept.groupBy("url").agg(F.min("url_ord").alias("url_ord")).select("url_ord", "url")
 
 
-@query(f"WITH u AS (SELECT page_id, 'https://docs.example.com' || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS url FROM pages) SELECT min(page_id) AS url_ord, url FROM u WHERE len(list_filter(string_split(url, '/'), lambda s: lower(s) IN ({D_LANG}))) = 0 GROUP BY url ORDER BY url_ord LIMIT 50")
+@query(f"WITH u AS (SELECT page_id, 'https://docs.example.com' || regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS url FROM pages) SELECT min(page_id) AS url_ord, url FROM u WHERE len(list_filter(string_split(url, '/'), lambda s: lower(s) IN ({D_LANG}))) = 0 GROUP BY url")
 def filter_urls(spark, sf):
     urls = table(spark, sf, "pages").select(F.col("page_id").alias("url_ord"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("url"))
-    return discovery.filter_urls(urls, "https://docs.example.com", most=50)
+    return discovery.filter_urls(urls, "https://docs.example.com")
 
 
 @query("SELECT page_id AS page_ord, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS slug FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) AS k FROM (SELECT page_id, CASE WHEN s = '' THEN 'index' ELSE s END AS name FROM (SELECT page_id, trim(replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/', '_'), '_') AS s FROM pages)))")
@@ -145,10 +145,10 @@ def url_slug_collisions(spark, sf):
     return discovery.page_slugs(table(spark, sf, "pages").select(F.col("page_id").alias("page_ord"), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path")))
 
 
-D_LINKED = "concat('- [a](https://x.io/1)', chr(10), CASE WHEN doc_id % 2 = 0 THEN '* [b](https://x.io/2)' || chr(10) || '* [c](u)' || chr(10) ELSE '' END, split_part(text, chr(10), 1), chr(10), chr(10), 'plain')"
+D_LINKED = "concat('- [a](https://x.io/1)', chr(10), CASE WHEN doc_id % 2 = 0 THEN '* [b](https://x.io/2)' || chr(10) || '* [c](u)' || chr(10) ELSE '' END, text, chr(10), chr(10), 'plain')"
 
 
-@query(f"SELECT page_ord, round(len(list_filter(ls, lambda x: regexp_matches(x, '^[-*]\\s+\\[[^\\]]*\\]\\([^)]*\\)'))) / len(ls)::DOUBLE, 9) AS ratio FROM (SELECT doc_id AS page_ord, list_filter(list_transform(string_split({D_LINKED}, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') AS ls FROM documents)")
+@query(f"SELECT page_ord, round(len(list_filter(ls, lambda x: regexp_matches(x, '^[-*]\\s*\\[[^\\]]*\\]\\([^)]*\\)'))) / len(ls)::DOUBLE, 9) AS ratio FROM (SELECT doc_id AS page_ord, list_filter(list_transform(string_split({D_LINKED}, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') AS ls FROM documents)")
 def link_index_ratio(spark, sf):
     return documents(spark, sf, D_LINKED.replace("chr(10)", "'\\n'")).select("page_ord", F.round(T.link_ratio(F.col("content")), 9).alias("ratio"))
 
@@ -205,27 +205,28 @@ D_KEPT = "SELECT page_ord, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS pos_sum
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.groupBy("page_ord").agg(F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("pos_sum"))
+    total = F.aggregate("ls", F.lit(0).cast("long"), lambda a, s: a + s["pos"])
+    return df.filter(F.size("ls") > 0).select("page_ord", F.size("ls").cast("long").alias("kept"), total.alias("pos_sum"))
 
 
 @query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit=D_NAV) + D_KEPT.format(c="run < 5"))
 def nav_runs(spark, sf):
-    return _kept(lines.drop_nav_runs(lines.to_lines(documents(spark, sf, LISTED))))
+    return _kept(lines.drop_nav_runs(lines.page_lines(documents(spark, sf, LISTED))))
 
 
 @query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit=D_NUM) + D_KEPT.format(c="run < 2"))
 def numbered_runs(spark, sf):
-    return _kept(lines.drop_numbered_runs(lines.to_lines(documents(spark, sf, LISTED))))
+    return _kept(lines.drop_numbered_runs(lines.page_lines(documents(spark, sf, LISTED))))
 
 
 @query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit="t = ''") + ", q AS (SELECT *, row_number() OVER (PARTITION BY page_ord, island, hit ORDER BY pos) AS k FROM r) " + D_KEPT.format(c="NOT hit OR k <= 2").replace("FROM r", "FROM q"))
 def blank_collapse(spark, sf):
-    return _kept(lines.collapse_blanks(lines.to_lines(documents(spark, sf, LISTED))))
+    return _kept(lines.collapse_blanks(lines.page_lines(documents(spark, sf, LISTED))))
 
 
 @query(f"WITH r AS {d_lines(D_LIST_SRC)} " + D_KEPT.format(c=f"{d_count('line', ' > ')} < 3 AND NOT regexp_matches(t, '(?i)^(#{{1,6}}\\s+)?on this page\\b|skip to (main )?content|^\\[back to top\\]|^back to top$|^\\[edit this page\\]|^copy markdown$') AND NOT regexp_matches(line, '(?i)cookie|accept all|privacy policy|\\bconsent\\b')"))
 def chrome_lines(spark, sf):
-    return _kept(lines.drop_consent(lines.drop_labels(lines.drop_breadcrumbs(lines.to_lines(documents(spark, sf, LISTED))))))
+    return _kept(lines.drop_consent(lines.drop_labels(lines.drop_breadcrumbs(lines.page_lines(documents(spark, sf, LISTED))))))
 
 
 D_FENCED = f"WITH l AS {d_lines(D_LIST_SRC)}, f AS (SELECT *, coalesce(sum(CASE WHEN starts_with(t, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_code FROM l) "
@@ -233,7 +234,8 @@ D_FENCED = f"WITH l AS {d_lines(D_LIST_SRC)}, f AS (SELECT *, coalesce(sum(CASE
 
 @query(D_FENCED + "SELECT page_ord, count(*) FILTER (in_code) AS code_lines FROM f GROUP BY page_ord")
 def fence_parity(spark, sf):
-    return lines.with_fences(lines.to_lines(documents(spark, sf, LISTED))).groupBy("page_ord").agg(F.count_if("in_code").alias("code_lines"))
+    fenced = lines.with_fences(lines.page_lines(documents(spark, sf, LISTED)))
+    return fenced.select("page_ord", F.size(F.filter("in_code", lambda x: x)).cast("long").alias("code_lines"))
 
 
 D_FLAGS = D_FENCED + """, b AS (SELECT *, regexp_matches(t, '^\\d+\\.\\s+\\[') AND length(t) < 100 AND NOT in_code AS listed FROM f), c AS (SELECT *, sum(CASE WHEN NOT listed AND t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord ORDER BY pos) AS cut FROM b), d AS (SELECT *, sum(CASE WHEN listed THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord, cut) AS run FROM c),
@@ -257,14 +259,6 @@ def flag_counts(spark, sf):
     return state.flag_counts(flags.page_flags(documents(spark, sf, LISTED)).withColumn("status", F.lit("ok")))
 
 
-D_FP = " + ".join(f"CAST(contains(content, '{f}') AS BIGINT)" for f in validate.FINGERPRINTS)
-
-
-@query(D_ISLANDS.format(src=d_lines(D_LIST_SRC), hit="regexp_matches(t, '^\\[.*\\]\\(.*\\)$')") + f", m AS (SELECT page_ord, max(run) AS longest FROM r GROUP BY page_ord), z AS (SELECT page_ord, CAST({D_FP} + CAST(regexp_matches(content, '([^\\n]+ > ){{2,}}[^\\n]+') AS BIGINT) + CAST(longest > 5 AS BIGINT) AS BIGINT) AS noise_hits FROM {D_LIST_SRC} JOIN m USING (page_ord)) SELECT page_ord, noise_hits, noise_hits > 3 AS flagged FROM z")
-def cleanliness(spark, sf):
-    return validate.cleanliness(documents(spark, sf, LISTED))
-
-
 D_CLEANED = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN text ELSE substring(text, 1, 200) END"
 
 
@@ -274,37 +268,30 @@ def fidelity(spark, sf):
     return found.select("page_ord", "words_before", "words_after", "retention_percent", F.size("missing_headings").cast("long").alias("missing"))
 
 
+D_ALL = "(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN page_id % 10 = 0 THEN 'HTTP 500' END AS error FROM pages)"
 D_RESULTS = "(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN page_id % 10 = 0 THEN 'HTTP 500' END AS error FROM pages WHERE page_id % 11 <> 0)"
 
 
-def _results(spark, sf) -> DataFrame:
-    p = table(spark, sf, "pages").filter("page_id % 11 <> 0")
+def _results(spark, sf, gaps: bool = False) -> DataFrame:
+    """Results of all pages; with gaps some were never attempted, which coverage is about."""
+    p = table(spark, sf, "pages")
+    p = p.filter("page_id % 11 <> 0") if gaps else p
     return p.selectExpr("page_id", "url", "CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status", "CASE WHEN page_id % 10 = 0 THEN 'HTTP 500' END AS error")
 
 
-@query(f"SELECT p.url, CASE WHEN r.url IS NULL THEN 'not attempted' ELSE coalesce(r.error, 'Unknown error') END AS reason FROM pages p LEFT JOIN {D_RESULTS} r USING (url) WHERE r.status IS DISTINCT FROM 'ok'")
-def coverage_gaps(spark, sf):
-    return validate.coverage_gaps(table(spark, sf, "pages").select("url"), _results(spark, sf))
-
-
-@query(f"SELECT (SELECT count(DISTINCT url) FROM pages) AS discovered, count(DISTINCT url) AS fetched, floor(count(DISTINCT url) * 100::DOUBLE / (SELECT count(DISTINCT url) FROM pages) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS percent FROM {D_RESULTS} WHERE status = 'ok'")
-def coverage(spark, sf):
-    return validate.coverage(table(spark, sf, "pages"), _results(spark, sf))
-
-
-@query(f"SELECT coalesce(error, 'Unknown error') AS reason, count(*) AS n FROM {D_RESULTS} WHERE status <> 'ok' GROUP BY 1")
+@query(f"SELECT coalesce(error, 'Unknown error') AS reason, count(*) AS n FROM {D_ALL} WHERE status <> 'ok' GROUP BY 1")
 def exclusion_summary(spark, sf):
     return state.exclusions(_results(spark, sf))
 
 
-@query(f"SELECT page_id, url, 'ok' AS status, NULL::VARCHAR AS error FROM {D_RESULTS} WHERE status <> 'ok' UNION ALL SELECT * FROM {D_RESULTS} WHERE status = 'ok'")
+@query(f"SELECT page_id, url, 'ok' AS status, NULL::VARCHAR AS error FROM {D_ALL} WHERE status <> 'ok' UNION ALL SELECT * FROM {D_ALL} WHERE status = 'ok'")
 def resume_upsert(spark, sf):
     done, pending = state.resume_state(_results(spark, sf))
     again = pending.select("page_id", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
     return state.upsert(done.unionByName(pending), again).select("page_id", "url", "status", "error")
 
 
-@query(f"SELECT status, count(*) AS n, 0::BIGINT AS flagged, floor(count(*) * 100::DOUBLE / sum(count(*)) OVER () * 10::DOUBLE + 0.5::DOUBLE) / 10::DOUBLE AS percent FROM {D_RESULTS} GROUP BY status")
+@query(f"SELECT status, count(*) AS n, 0::BIGINT AS flagged, floor(count(*) * 100::DOUBLE / sum(count(*)) OVER () * 10::DOUBLE + 0.5::DOUBLE) / 10::DOUBLE AS percent FROM {D_ALL} GROUP BY status")
 def inspect_run(spark, sf):
     return mirror.inspect(_results(spark, sf).withColumn("flags", F.array().cast("array<string>")))
 
@@ -332,20 +319,6 @@ def representative_sample(spark, sf):
     return detect.sample(documents(spark, sf)).select("page_ord")
 
 
-def _sig_struct(i: int, name: str, sigs) -> str:
-    return f"SELECT {i} AS ord, '{name}' AS platform, CAST({3 if name == 'docusaurus' else 0} + 2 * ({' + '.join(f'''count(*) FILTER (contains(lower(c), '{s}'))''' for s in sigs)}) AS BIGINT) AS score FROM x"
-
-
-@query(D_PICK + f", x AS (SELECT {D_SIG} AS c FROM documents JOIN p ON doc_id = d) " + " UNION ALL ".join(_sig_struct(i, n, s) for i, (n, _, s) in enumerate(detect.PLATFORMS)))
-def platform_scores(spark, sf):
-    return detect.scores(documents(spark, sf, D_SIG), "https://example.com/docs/intro").select("ord", "platform", "score")
-
-
-@query(D_PICK + f", x AS (SELECT {D_SIG} AS c FROM documents JOIN p ON doc_id = d), y AS (" + " UNION ALL ".join(_sig_struct(i, n, s) for i, (n, _, s) in enumerate(detect.PLATFORMS)) + "), n2 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {len(s)})" for i, (_, _, s) in enumerate(detect.PLATFORMS)) + ") v(ord, k)) SELECT CASE WHEN c >= 0.3 THEN platform ELSE 'generic' END AS platform, floor(c * 100 + 0.5::DOUBLE) / 100::DOUBLE AS confidence FROM (SELECT platform, least(score::DOUBLE / (3 + 4 * k), 1::DOUBLE) AS c FROM y JOIN n2 USING (ord) ORDER BY score DESC, ord LIMIT 1)")
-def platform_detect(spark, sf):
-    return detect.detect_platform(documents(spark, sf, D_SIG), "https://example.com/docs/intro")
-
-
 #: Patterns of an invented question key over the benchmark's texts.
 KEY = (("q0", ("the", "and")), ("q1", ("\\bde\\b",)), ("q2", ("th[ae]n?", "xyzzy")))
 
@@ -388,9 +361,7 @@ def _site(spark, sf) -> DataFrame:
 
 @query()
 def corpus_assemble(spark, sf):
-    return mirror.mirror(_site(spark, sf), mirror.RunConfig("https://example.com/docs", top=0)).compiled
+    return mirror.mirror(_site(spark, sf), mirror.RunConfig("https://example.com/docs", top=0, date="2026-01-01")).corpus.text()
 
 
-@query("WITH p AS (SELECT page_id AS page_ord, regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) AS segment, 'Page ' || page_id AS title FROM pages), g AS (SELECT *, min(page_ord) OVER (PARTITION BY segment) AS f, count(*) OVER (PARTITION BY segment) AS k FROM p) SELECT row_number() OVER (ORDER BY f, page_ord) AS number, page_ord, segment, title, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS anchor, k > 1 AND (SELECT count(DISTINCT segment) FROM p) > 1 AS nested FROM g")
-def grouped_contents(spark, sf):
-    return assemble.contents(table(spark, sf, "pages").select(F.col("page_id").alias("page_ord"), F.regexp_extract("url", "^https?://[^/?#]+/([^/?#]*)", 1).alias("segment"), F.concat(F.lit("Page "), F.col("page_id")).alias("title")))
+from corpusmill import catalog_reports  # noqa: E402, F401  registers its queries here

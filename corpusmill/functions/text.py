@@ -61,7 +61,7 @@ def soft_404(c: Column) -> Column:
 def link_ratio(c: Column) -> Column:
     """S3: the share of non-blank lines that are bullets with a link; 0 without lines."""
     lines = F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: x != "")
-    hits = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^[-*]\s+\[[^\]]*\]\([^)]*\)"))))
+    hits = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^[-*]\s*\[[^\]]*\]\([^)]*\)"))))
     return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(hits / F.size(lines))
 
 
@@ -84,7 +84,7 @@ def title_of(c: Column, slug: Column) -> Column:
 
 def without_links(c: Column) -> Column:
     """Link text alone."""
-    return F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1")
 
 
 def contaminated_answer(c: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import slugify, title_of, token_estimate, trimmed
-from corpusmill.operators.lines import to_lines
+from corpusmill.functions.text import slugify, title_of, token_estimate, trimmed, without_links
 
 
 def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
@@ -18,58 +19,134 @@ def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """K9: (page_ord, block, content); a heading line opens a block."""
-    order = Window.partitionBy("page_ord").orderBy("pos")
-    opens = (F.col("line").rlike(r"^#{1,6}\s") & (F.col("pos") > 0)).cast("int")
-    lines = to_lines(pages).withColumn("block", F.sum(opens).over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")
-    return lines.groupBy("page_ord", "block").agg(text.alias("content"))
+    """K9: (page_ord, block, content); a heading line opens a block. A row's own expression."""
+    return pages.select("page_ord", F.posexplode(F.split("content", r"\n(?=#{1,6}\s)")).alias("block", "content"))
 
 
 def surviving_blocks(pages: DataFrame, least_chars: int = 40) -> DataFrame:
-    """Blocks not seen on an earlier page; short ones always stay."""
-    found = blocks(pages).withColumn("digest", F.md5(trimmed(F.col("content")))).withColumn("long", F.length(trimmed(F.col("content"))) >= least_chars)
-    first = found.filter("long").groupBy("digest").agg(F.min("page_ord").alias("first"))
-    return found.join(first, "digest", "left").filter("not long or first = page_ord").select("page_ord", "block", "content")
+    """Blocks not seen on an earlier page; short ones always stay, and are not looked up. The
+    texts travel once, to be joined by page; only digests are shuffled for the look-up."""
+    found = blocks(pages).withColumn("digest", F.when(F.length(trimmed(F.col("content"))) >= least_chars, F.md5(trimmed(F.col("content")))))
+    first = found.filter("digest is not null").groupBy("digest").agg(F.min("page_ord").alias("first"), F.max("page_ord").alias("last")).filter("first < last")
+    # a page's later copies, named by page and block: digests that stand on one page alone do not come up
+    again = found.filter("digest is not null").select("digest", "page_ord", "block").join(first.select("digest", "first"), "digest").filter("first < page_ord").select("page_ord", "block")
+    return found.select("page_ord", "block", "content").join(again, ["page_ord", "block"], "left_anti")
 
 
 def deduplicate_blocks(pages: DataFrame, least_words: int = 10) -> DataFrame:
     """Pages rebuilt from their surviving blocks; pages of under ten words go."""
     rebuilt = surviving_blocks(pages).groupBy("page_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "content"))), lambda s: s["content"]), "\n").alias("content"))
-    return rebuilt.filter(F.size(F.split("content", r"\s+")) >= least_words)
+    kept = rebuilt.select("page_ord", trimmed(F.col("content")).alias("content"))
+    return kept.filter((F.col("content") != "") & (F.size(F.split("content", r"\s+")) >= least_words))
 
 
 def shift_headings(pages: DataFrame, target: int = 3) -> DataFrame:
-    """(page_ord, content, changed): headings moved so that the least level is target."""
-    level = F.when(F.col("line").rlike(r"^#{1,6}\s+\S"), F.length(F.regexp_extract("line", "^(#{1,6})", 1)))
-    lines = to_lines(pages).withColumn("level", level).withColumn("least", F.min("level").over(Window.partitionBy("page_ord")))
-    new = F.greatest(F.lit(1), F.least(F.lit(6), F.col("level") + target - F.col("least")))
-    moved = lines.withColumn("new", new).withColumn("line", F.when(F.col("level").isNotNull(), F.concat(F.expr("repeat('#', new)"), F.expr("substring(line, level + 1)"))).otherwise(F.col("line")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")
-    return moved.groupBy("page_ord").agg(text.alias("content"), F.count_if((F.col("level").isNotNull()) & (F.col("new") != F.col("level"))).alias("changed"))
+    """(page_ord, content, changed): headings moved so that the least level is target. An
+    expression over each page's row."""
+    split = pages.select("page_ord", F.explode(F.array(F.split("content", "\n"))).alias("ls"))
+    level = F.array_min(F.concat(F.transform(F.filter("ls", lambda x: x.rlike(r"^#{1,6}\s")), lambda x: F.length(F.regexp_extract(x, "^(#{1,6})", 1))), F.array(F.lit(6))))
+    moved = split.select("page_ord", "ls", level.alias("least"))
+
+    def new(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.least(F.lit(6), n + target - F.col("least")))
+
+    def line(x: Column) -> Column:
+        own = F.length(F.regexp_extract(x, r"^(#{1,6})\s.", 1))
+        return F.struct(F.when(own > 0, F.concat(F.repeat(F.lit("#"), new(own)), F.regexp_replace(x, "^#{1,6}", ""))).otherwise(x).alias("line"), ((own > 0) & (new(own) != own)).alias("changed"))
+
+    made = moved.select("page_ord", F.explode(F.array(F.transform("ls", line))).alias("ls"))
+    return made.select("page_ord", F.array_join(F.transform("ls", lambda s: s["line"]), "\n").alias("content"), F.size(F.filter("ls", lambda s: s["changed"])).cast("long").alias("changed"))
+
+
+def in_order(pages: DataFrame) -> DataFrame:
+    """K4: adds sort_key, by which the index comes first and the others by path, compared as words
+    are (case and accents last), not as bytes; ties by page_ord."""
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "^/|/$", "")
+    return pages.withColumn("sort_key", F.struct((~path.isin("", "index")).alias("later"), F.collate(path, "UNICODE").alias("path"), F.col("page_ord")))
 
 
 def contents(pages: DataFrame) -> DataFrame:
-    """K13 over (page_ord, slug, title, segment): groups in the order first seen, a running number."""
-    first = Window.partitionBy("segment")
-    ranked = pages.withColumn("group_first", F.min("page_ord").over(first)).withColumn("group_size", F.count(F.lit(1)).over(first))
-    groups = pages.select("segment").distinct().agg(F.count(F.lit(1)).alias("groups"))
-    numbered = ranked.withColumn("number", F.row_number().over(Window.orderBy("group_first", "page_ord")).cast("long")).crossJoin(F.broadcast(groups))
-    return numbered.select("number", "page_ord", "segment", "title", slugify(F.col("title")).alias("anchor"), ((F.col("groups") > 1) & (F.col("group_size") > 1)).alias("nested"))
-
-
-def compile_corpus(pages: DataFrame, name: str = "docs", compat: bool = False) -> DataFrame:
-    """One row (content, pages, tokens) of pages (page_ord, slug, url, content), sorted with
-    the index first and then by path. The one text is the product: its size is the corpus's.
-    compat cuts each page at its first rule and sorts by page_ord."""
-    path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.concat(F.lit("/"), F.col("slug")))
-    body = F.split(F.concat(F.col("content"), F.lit("\n")), "\n---\n")[0] if compat else F.col("content")
-    made = pages.select("page_ord", "slug", title_of(F.col("content"), F.col("slug")).alias("title"), trimmed(body).alias("content"), F.lit("").alias("path") if compat else path.alias("path"))
-    key = F.struct((F.col("slug") != "index").alias("later"), "path", "page_ord", "title", "content")
-    gathered = made.agg(F.array_sort(F.collect_list(key)).alias("ps"), F.coalesce(F.sum(token_estimate(F.col("content"))), F.lit(0)).alias("tokens"))
-    toc = F.array_join(F.transform("ps", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". ["), p["title"], F.lit("](#"), slugify(p["title"]), F.lit(")"))), "\n")
-    parts = F.array_join(F.transform("ps", lambda p: F.concat(F.lit("## "), p["title"], F.lit("\n\n"), p["content"])), "\n\n---\n\n")
-    return gathered.select(F.concat(F.lit(f"# {name}\n\n"), toc, F.lit("\n\n---\n\n"), parts).alias("content"), F.size("ps").cast("long").alias("pages"), "tokens")
+    """K13 over (page_ord, segment, title): groups in the order first seen. A group of several pages,
+    where there is more than one group, has one number and its pages are nested; other pages are
+    numbered each. Only the groups, not the pages, are counted through in one task."""
+    by = Window.partitionBy("segment")
+    ranked = pages.withColumn("group_first", F.min("page_ord").over(by)).withColumn("group_size", F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy("page_ord")))
+    groups = pages.groupBy("segment").agg(F.min("page_ord").alias("group_first"))
+    numbered = groups.select("segment", F.row_number().over(Window.orderBy("group_first")).alias("running"), F.count(F.lit(1)).over(Window.partitionBy()).alias("groups"))
+    joined = ranked.join(numbered, "segment")
+    several = F.col("groups") > 1
+    title = without_links(F.col("title"))
+    return joined.select(F.when(several, F.col("running")).otherwise(F.col("place")).cast("long").alias("number"), "page_ord", "segment", title.alias("title"), slugify(title).alias("anchor"), (several & (F.col("group_size") > 1)).alias("nested"), "group_first")
+
+
+def contents_lines(made: DataFrame) -> DataFrame:
+    """K13 as text: (group_first, page_ord, line); a nested group's heading has page_ord -1."""
+    name = F.initcap(F.regexp_replace("segment", "[-_]", " "))
+    heads = made.filter("nested").select("group_first", F.lit(-1).cast("long").alias("page_ord"), F.concat(F.col("number").cast("string"), F.lit(". **"), name, F.lit("**")).alias("line")).distinct()
+    link = F.concat(F.lit("["), F.col("title"), F.lit("](#"), F.col("anchor"), F.lit(")"))
+    items = made.select("group_first", "page_ord", F.when(F.col("nested"), F.concat(F.lit("   - "), link)).otherwise(F.concat(F.col("number").cast("string"), F.lit(". "), link)).alias("line"))
+    return heads.unionByName(items)
+
+
+@dataclass
+class Corpus:
+    """parts (part, group_first, page_ord, text): the corpus's text in order, the header 0, the
+    contents' lines 1, the pages 2; stats one row; pages the kept ones."""
+
+    pages: DataFrame
+    stats: DataFrame
+    parts: DataFrame
+
+    def write(self, path: str) -> None:
+        """Text files whose names and lines are in the corpus's order; no task holds more than its part."""
+        self.parts.orderBy("part", "group_first", "page_ord").select(F.col("text").alias("value")).write.mode("overwrite").text(path)
+
+    def text(self) -> DataFrame:
+        """One row (content, pages, tokens): the corpus as one text, which one task must hold."""
+        key = F.struct("part", "group_first", "page_ord", "text")
+        whole = self.parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["text"]), "\n").alias("content"))
+        return whole.crossJoin(self.stats.select(F.col("pages_out").alias("pages"), "tokens"))  # one row each
+
+
+def compiled(pages: DataFrame, name: str, source: str, date: str) -> Corpus:
+    """K6 over pages (page_ord, url, content): a header with counts, flat contents, and each page
+    under a marker of its title and address. Nothing is dropped; page_ord gives the order."""
+    titled = pages.select("page_ord", "url", title_of(F.col("content"), _slug_title(F.col("url"))).alias("title"), trimmed(F.col("content")).alias("content"))
+    counts = titled.agg(F.count(F.lit(1)).alias("pages_out"), F.coalesce(F.sum(token_estimate(F.col("content"))), F.lit(0)).alias("tokens"))
+    stats = counts.select(F.col("pages_out").alias("pages_in"), "pages_out", F.lit(0).cast("long").alias("pages_dropped"), F.lit(0).cast("long").alias("blocks_deduped"), F.lit(0).cast("long").alias("headings_normalised"), "tokens")
+    head = F.format_string(f"# {name} Documentation\n\n> Mirrored from {source} on {date}\n> %d pages | ~%,d tokens\n\n## Table of Contents\n".replace("{", "").replace("}", ""), "pages_out", "tokens")
+    lines = titled.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("group_first"), "page_ord", F.concat(F.lit("- ["), F.col("title"), F.lit("](#"), slugify(F.col("title")), F.lit(")")).alias("text"))
+    body = titled.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("group_first"), "page_ord", F.concat(F.lit("\n---\n\n## Page: "), F.col("title"), F.lit(" (source: "), F.col("url"), F.lit(")\n\n"), F.col("content")).alias("text"))
+    first = counts.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("group_first"), F.lit(0).cast("long").alias("page_ord"), head.alias("text"))
+    return Corpus(titled, stats, first.unionByName(lines).unionByName(body))
+
+
+def _slug_title(url: Column) -> Column:
+    path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "^/|/$", "")
+    return slugify(F.when(path == "", "index").otherwise(path))
+
+
+def postcompiled(pages: DataFrame, name: str, source: str, date: str) -> Corpus:
+    """K7 to K14 over pages (page_ord, url, content): duplicate pages and blocks go, headings move
+    below the pages' own, grouped contents, a header that says what went."""
+    titled = pages.select("page_ord", "url", without_links(title_of(F.col("content"), _slug_title(F.col("url")))).alias("title"), trimmed(F.col("content")).alias("content"))
+    unique = drop_duplicate_pages(titled).select("page_ord", "content")
+    shifted = shift_headings(deduplicate_blocks(unique))
+    kept = titled.drop("content").join(shifted, "page_ord")
+    removed = blocks(unique).agg(F.count(F.lit(1)).alias("all_blocks")).crossJoin(surviving_blocks(unique).agg(F.count(F.lit(1)).alias("kept_blocks")))  # one row each
+    out = kept.agg(F.count(F.lit(1)).alias("pages_out"), F.coalesce(F.sum("changed"), F.lit(0)).alias("headings_normalised"), F.coalesce(F.sum(token_estimate(F.col("content"))), F.lit(0)).alias("tokens"))
+    stats = titled.agg(F.count(F.lit(1)).alias("pages_in")).crossJoin(out).crossJoin(removed)  # one row each
+    stats = stats.select("pages_in", "pages_out", (F.col("pages_in") - F.col("pages_out")).alias("pages_dropped"), (F.col("all_blocks") - F.col("kept_blocks")).alias("blocks_deduped"), "headings_normalised", "tokens")
+    head = F.concat(
+        F.lit(f"# {name} — Reference Documentation\n<!-- Assembled from "), F.col("pages_in").cast("string"), F.lit(" pages, "), F.col("pages_dropped").cast("string"), F.lit(" dropped as duplicates, "), F.col("blocks_deduped").cast("string"),
+        F.lit(f" duplicate blocks removed -->\n\n> Source: {source} | {date}\n> "), F.col("pages_out").cast("string"), F.lit(" pages after deduplication\n\n## Table of Contents\n"),
+    )
+    segment = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+/+([^/?#]+)", 1)
+    made = contents(kept.select("page_ord", F.when(segment == "", "root").otherwise(segment).alias("segment"), "title"))
+    lines = contents_lines(made).select(F.lit(1).alias("part"), "group_first", "page_ord", F.col("line").alias("text"))
+    body = kept.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("group_first"), "page_ord", F.concat(F.lit("\n---\n\n## "), F.col("title"), F.lit("\n\n"), trimmed(F.col("content"))).alias("text"))
+    first = stats.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("group_first"), F.lit(0).cast("long").alias("page_ord"), head.alias("text"))
+    return Corpus(kept, stats, first.unionByName(lines).unionByName(body))
 
 
 def write_sections(pages: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +32,26 @@ def sample(pages: DataFrame, size: int = 10) -> DataFrame:
 
 
 def scores(pages: DataFrame, base_url: str) -> DataFrame:
-    """(ord, platform, score, confidence) over the sample: one aggregate, no join."""
-    import re
-
+    """(ord, platform, score, confidence, evidence) over the sample: one aggregate, no join. The
+    confidence divides by what a url match and two signatures on every sampled page would score."""
     low = F.lower("content")
     hits = [F.coalesce(F.sum(low.contains(s).cast("long")), F.lit(0)).alias(f"h{i}_{k}") for i, (_, _, sigs) in enumerate(PLATFORMS) for k, s in enumerate(sigs)]
-    one = sample(pages).agg(*hits)
-    rows = [F.struct(F.lit(i).alias("ord"), F.lit(name).alias("platform"), (F.lit(3 if any(re.search(u, base_url, re.I) for u in urls) else 0) + 2 * sum((F.col(f"h{i}_{k}") for k in range(len(sigs))), F.lit(0))).cast("long").alias("score"), F.lit(len(sigs)).alias("n")) for i, (name, urls, sigs) in enumerate(PLATFORMS)]
-    flat = one.select(F.inline(F.array(*rows)))
-    return flat.select("ord", "platform", "score", F.least(F.col("score") / (3 + 4 * F.col("n")), F.lit(1.0)).alias("confidence"))
+    one = sample(pages).agg(F.count(F.lit(1)).alias("n"), *hits)
+    rows = []
+    for i, (name, urls, sigs) in enumerate(PLATFORMS):
+        url = next((u for u in urls if re.search(u, base_url, re.I)), None)
+        found = [F.col(f"h{i}_{k}") for k in range(len(sigs))]
+        score = sum((2 * h for h in found), F.lit(3 if url else 0)).cast("long")
+        said = [F.lit(f"URL matches {url}")] if url else []
+        said += [F.when(h > 0, F.concat(h.cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(f" pages contain '{s}'"))) for h, s in zip(found, sigs)]
+        rows.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("platform"), score.alias("score"), F.array_compact(F.array(*said)).alias("evidence")))
+    flat = one.filter("n > 0").select("n", F.inline(F.array(*rows)))
+    return flat.select("ord", "platform", "score", F.least(F.col("score") / (3 + 4 * F.col("n")), F.lit(1.0)).alias("confidence"), "evidence")
 
 
 def detect_platform(pages: DataFrame, base_url: str) -> DataFrame:
-    """One row (platform, confidence); below 0.3 it is generic."""
+    """One row (platform, confidence, evidence); below 0.3 it is generic, at 0 and without
+    evidence. Of equal scores the platform declared first; no page, no row."""
     best = scores(pages, base_url).orderBy(F.desc("score"), "ord").limit(1)
     sure = F.col("confidence") >= 0.3
-    return best.select(F.when(sure, F.col("platform")).otherwise("generic").alias("platform"), round_to(F.col("confidence"), 2).alias("confidence"))
+    return best.select(F.when(sure, F.col("platform")).otherwise("generic").alias("platform"), F.when(sure, round_to(F.col("confidence"), 2)).otherwise(0.0).alias("confidence"), F.when(sure, F.col("evidence")).otherwise(F.array().cast("array<string>")).alias("evidence"))

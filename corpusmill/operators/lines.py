@@ -1,37 +1,79 @@
-"""Pages as ordered lines: the order is an explicit column throughout."""
+"""Pages as arrays of lines, one row a page: every operator here is an expression over the row, so
+nothing is exploded, shuffled or sorted. Runs of lines are found on masks, strings that hold one
+character a line, whose stretches of equal characters a regular expression lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import trimmed
 
 
+def page_lines(pages: DataFrame, *others: str, key: str = "page_ord", text: str = "content") -> DataFrame:
+    """(key, ls, others): ls holds (pos, line, t) of each line; pos counts from 0, t is trimmed."""
+    # a generator between the steps keeps each from being worked out once per line
+    split = pages.select(key, *others, F.explode(F.array(F.split(F.col(text), "\n"))).alias("raw"))
+    made = F.transform("raw", lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("line"), trimmed(x).alias("t")))
+    return split.select(key, *others, F.explode(F.array(made)).alias("ls"))
+
+
 def to_lines(pages: DataFrame, key: str = "page_ord", text: str = "content") -> DataFrame:
-    """(key, pos, line, t, n_lines): pos counts from 0; t is the trimmed line."""
-    split = pages.select(key, F.explode(F.array(F.split(F.col(text), "\n"))).alias("ls"))
-    out = split.select(key, F.size("ls").cast("long").alias("n_lines"), F.posexplode("ls").alias("pos", "line"))
-    return out.select(key, F.col("pos").cast("long").alias("pos"), "line", trimmed(F.col("line")).alias("t"), "n_lines")
+    """(key, pos, line, t): a row a line."""
+    return page_lines(pages, key=key, text=text).select(key, F.inline("ls"))
 
 
 def from_lines(lines: DataFrame, key: str = "page_ord") -> DataFrame:
+    """(key, content) of a row a line."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")
     return lines.groupBy(key).agg(text.alias("content"))
 
 
-def with_fences(lines: DataFrame, key: str = "page_ord") -> DataFrame:
-    """whether an odd number of earlier lines opens or closes a fence."""
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    fences = F.coalesce(F.sum(F.col("t").startswith("```").cast("int")).over(before), F.lit(0))
-    return lines.withColumn("in_code", fences % 2 == 1)
+def join_lines(ls: str = "ls") -> Column:
+    return F.array_join(F.transform(ls, lambda s: s["line"]), "\n")
+
+
+def mask(hit, ls: str = "ls", other=None) -> Column:
+    """One character a line: 1 where hit(line) holds, 0 elsewhere; b where other(line) holds of the rest."""
+
+    def mark(s: Column) -> Column:
+        rest = F.lit("0") if other is None else F.when(other(s), "b").otherwise("0")
+        return F.when(hit(s), "1").otherwise(rest)
+
+    return F.array_join(F.transform(ls, mark), "")
+
+
+def _stretches(m: Column, each) -> Column:
+    """each(a stretch of equal characters, its length) of a mask of 1 and 0, put in a row."""
+    return F.flatten(F.transform(F.regexp_extract_all(m, F.lit("(1+|0+)"), F.lit(1)), lambda r: each(r.startswith("1"), F.length(r))))
+
 
+def run_lengths(m: Column) -> Column:
+    """For each line the length of the run of hits that it lies in, 0 outside."""
+    return _stretches(m, lambda hit, n: F.array_repeat(F.when(hit, n).otherwise(0), n))
 
-def with_runs(lines: DataFrame, hit: Column, key: str = "page_ord") -> DataFrame:
-    """Adds hit, and run_length: the length of the run of consecutive hits a line lies in (0 outside)."""
-    order = Window.partitionBy(key).orderBy("pos")
-    marked = lines.withColumn("hit", hit).withColumn("island", F.sum((~F.col("hit")).cast("int")).over(order))
-    return marked.withColumn("run_length", F.when(F.col("hit"), F.sum(F.col("hit").cast("int")).over(Window.partitionBy(key, "island")).cast("long")).otherwise(F.lit(0).cast("long"))).drop("island")
+
+def run_places(m: Column) -> Column:
+    """For each line its place in the run of hits, from 1; 0 outside."""
+    return _stretches(m, lambda hit, n: F.when(hit, F.sequence(F.lit(1), n)).otherwise(F.array_repeat(F.lit(0), n)))
+
+
+def in_code(ls: str = "ls") -> Column:
+    """for each line whether an odd number of earlier lines opens or closes a fence."""
+    fences = mask(lambda s: s["t"].startswith("```"), ls)
+    parts = F.regexp_extract_all(fences, F.lit("(0*1|0+)"), F.lit(1))
+    return F.flatten(F.transform(parts, lambda p, k: F.array_repeat(k % 2 == 1, F.length(p))))
+
+
+def with_fences(pages: DataFrame) -> DataFrame:
+    """Adds in_code, an array beside ls."""
+    return pages.select("*", F.explode(F.array(in_code())).alias("in_code"))
+
+
+def _keep(pages: DataFrame, marks: Column, keep) -> DataFrame:
+    """The lines whose mark, in an array beside ls, is to be kept."""
+    marked = pages.select("*", F.explode(F.array(marks)).alias("marks"))
+    return marked.withColumn("ls", F.filter("ls", lambda s, i: keep(F.get(F.col("marks"), i)))).drop("marks")
 
 
 def is_nav(t: Column) -> Column:
@@ -44,36 +86,36 @@ def is_numbered(t: Column) -> Column:
     return t.rlike(r"^\d+\.\s+\[") | (t.rlike(r"^\d+\.\s+\S") & (F.length(t) < 80))
 
 
-def drop_breadcrumbs(lines: DataFrame) -> DataFrame:
+def drop_breadcrumbs(pages: DataFrame) -> DataFrame:
     """G5."""
-    return lines.filter(F.regexp_count("line", F.lit(" > ")) < 3)
+    return pages.withColumn("ls", F.filter("ls", lambda s: F.regexp_count(s["line"], F.lit(" > ")) < 3))
 
 
-def drop_labels(lines: DataFrame) -> DataFrame:
+def drop_labels(pages: DataFrame) -> DataFrame:
     """G6."""
-    t = F.lower("t")
-    label = t.rlike(r"^(#{1,6}\s+)?on this page(?![a-z0-9_])") | t.rlike(r"skip to (main )?content") | t.startswith("[back to top]") | (t == "back to top") | t.startswith("[edit this page]") | (t == "copy markdown")
-    return lines.filter(~label)
+
+    def label(s: Column) -> Column:
+        t = F.lower(s["t"])
+        return t.rlike(r"^(#{1,6}\s+)?on this page(?![a-z0-9_])") | t.rlike(r"skip to (main )?content") | t.startswith("[back to top]") | (t == "back to top") | t.startswith("[edit this page]") | (t == "copy markdown")
+
+    return pages.withColumn("ls", F.filter("ls", lambda s: ~label(s)))
 
 
-def drop_consent(lines: DataFrame) -> DataFrame:
+def drop_consent(pages: DataFrame) -> DataFrame:
     """G7."""
-    return lines.filter(~F.lower("line").rlike(r"cookie|accept all|privacy policy|(?<![a-z0-9_])consent(?![a-z0-9_])"))
+    return pages.withColumn("ls", F.filter("ls", lambda s: ~F.lower(s["line"]).rlike(r"cookie|accept all|privacy policy|(?<![a-z0-9_])consent(?![a-z0-9_])")))
 
 
-def drop_nav_runs(lines: DataFrame, key: str = "page_ord") -> DataFrame:
+def drop_nav_runs(pages: DataFrame) -> DataFrame:
     """Runs of five navigation lines and over."""
-    return with_runs(lines, is_nav(F.col("t")), key).filter("run_length < 5").drop("hit", "run_length")
+    return _keep(pages, run_lengths(mask(lambda s: is_nav(s["t"]))), lambda n: n < 5)
 
 
-def drop_numbered_runs(lines: DataFrame, key: str = "page_ord") -> DataFrame:
+def drop_numbered_runs(pages: DataFrame) -> DataFrame:
     """Runs of two numbered lines and over."""
-    return with_runs(lines, is_numbered(F.col("t")), key).filter("run_length < 2").drop("hit", "run_length")
+    return _keep(pages, run_lengths(mask(lambda s: is_numbered(s["t"]))), lambda n: n < 2)
 
 
-def collapse_blanks(lines: DataFrame, key: str = "page_ord") -> DataFrame:
+def collapse_blanks(pages: DataFrame) -> DataFrame:
     """At most two blank lines in a row."""
-    order = Window.partitionBy(key).orderBy("pos")
-    island = lines.withColumn("blank", F.col("t") == "").withColumn("island", F.sum((~F.col("blank")).cast("int")).over(order))
-    place = F.row_number().over(Window.partitionBy(key, "island", "blank").orderBy("pos"))
-    return island.withColumn("place", place).filter("not blank or place <= 2").drop("blank", "island", "place")
+    return _keep(pages, run_places(mask(lambda s: s["t"] == "")), lambda k: k <= 2)

@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import code_block_count, contaminated_answer, heading_count, round_to, trimmed, word_count
-from corpusmill.operators.lines import to_lines, with_runs
+from corpusmill.operators.lines import mask, page_lines
 
 FINGERPRINTS = ("Accept all", "Built with", "Cookie", "On this page", "Powered by", "Previous / Next", "Table of Contents", "Was this page helpful", "[Edit on GitHub]", "[Suggest edits]")
 
 
 def cleanliness(pages: DataFrame) -> DataFrame:
-    """V1 detail: (page_ord, noise_hits, flagged)."""
-    runs = with_runs(to_lines(pages), F.col("t").rlike(r"^\[.*\]\(.*\)$")).groupBy("page_ord").agg(F.max("run_length").alias("longest"), F.bool_or(F.col("line").rlike("^.+? > .+? > .")).alias("crumbs"))
-    hits = sum((F.col("content").contains(f).cast("long") for f in FINGERPRINTS), F.col("crumbs").cast("long"))
-    both = pages.join(runs, "page_ord").withColumn("noise_hits", hits + (F.col("longest") > 5).cast("long"))
-    return both.select("page_ord", "noise_hits", (F.col("noise_hits") > 3).alias("flagged"))
+    """V1 detail: (page_ord, noise_hits, flagged, fingerprints)."""
+    linked = mask(lambda s: s["t"].rlike(r"^\[.*\]\(.*\)$"))
+    lined = page_lines(pages, "content").withColumn("linked", linked.rlike("1{6}"))
+    named = [F.when(F.col("content").contains(f), F.lit(f)) for f in FINGERPRINTS]
+    crumbs = F.when(F.regexp_like("content", F.lit("[^\\n]+? > [^\\n]+? > [^\\n]")), F.lit("breadcrumb sequence"))
+    found = lined.select("page_ord", F.array_compact(F.array(*named, crumbs, F.when(F.col("linked"), F.lit("consecutive link-only lines")))).alias("fingerprints"))
+    return found.select("page_ord", F.size("fingerprints").cast("long").alias("noise_hits"), (F.size("fingerprints") > 3).alias("flagged"), "fingerprints")
+
+
+def _percent(part: Column, whole: Column, empty: float) -> Column:
+    return F.when(whole == 0, F.lit(empty)).otherwise(round_to(part * 100.0 / whole, 2))
+
+
+def cleanliness_report(detail: DataFrame) -> DataFrame:
+    """V1 roll-up, one row: (total_pages, flagged_pages, flagged_percent)."""
+    one = detail.agg(F.count(F.lit(1)).alias("total_pages"), F.count_if("flagged").alias("flagged_pages"))
+    return one.select("*", _percent(F.col("flagged_pages"), F.col("total_pages"), 0.0).alias("flagged_percent"))
 
 
 def headings(content):
     """V4: trimmed H2 and H3 texts."""
-    return F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^#{2,3}[ \t]+([^\n]+)"), F.lit(1)), trimmed)
+    return F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^#{2,3}[ \t\f\x0b]+([^\n]+)"), F.lit(1)), trimmed)
 
 
 def fidelity(raw: DataFrame, clean: DataFrame) -> DataFrame:
@@ -33,18 +45,39 @@ def fidelity(raw: DataFrame, clean: DataFrame) -> DataFrame:
     return both.select("page_ord", "words_before", "words_after", percent.alias("retention_percent"), missing.alias("missing_headings"), (percent < 30).alias("over_stripped"))
 
 
-def coverage_gaps(discovered: DataFrame, results: DataFrame) -> DataFrame:
-    """V5: discovered urls without an ok result, with a reason."""
-    ok = results.filter("status = 'ok'").select("url")
-    why = results.filter("status <> 'ok'").groupBy("url").agg(F.first("error", ignorenulls=True).alias("error"), F.count(F.lit(1)).alias("tries"))
-    gaps = discovered.join(ok, "url", "left_anti").join(why, "url", "left")
-    return gaps.select("url", F.when(F.col("tries").isNull(), "not attempted").otherwise(F.coalesce("error", F.lit("Unknown error"))).alias("reason"))
+def fidelity_report(detail: DataFrame) -> DataFrame:
+    """V3 roll-up, one row: (total_pages, over_stripped)."""
+    return detail.agg(F.count(F.lit(1)).alias("total_pages"), F.count_if("over_stripped").alias("over_stripped"))
 
 
-def coverage(discovered: DataFrame, results: DataFrame) -> DataFrame:
-    n, hit = discovered.select("url").distinct(), results.filter("status = 'ok'").select("url").distinct()
-    both = n.agg(F.count(F.lit(1)).alias("discovered")).crossJoin(hit.agg(F.count(F.lit(1)).alias("fetched")))  # one row each
-    return both.select("discovered", "fetched", F.when(F.col("discovered") == 0, F.lit(0.0)).otherwise(round_to(F.col("fetched") * 100.0 / F.col("discovered"), 2)).alias("percent"))
+def coverage_gaps(discovered: DataFrame, results: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
+    """V5: discovered urls without an ok result, with the last failure's error (results may carry an
+    order page_ord), and sitemap urls that were not discovered."""
+    ok = results.filter("status = 'ok'").select("url")
+    failed = results.filter("status <> 'ok'")
+    last = F.max_by(F.struct("error"), "page_ord") if "page_ord" in results.columns else F.first(F.struct("error"))
+    why = failed.groupBy("url").agg(last["error"].alias("error"))
+    gaps = discovered.select("url").join(ok, "url", "left_anti").join(why, "url", "left").select("url", F.coalesce("error", F.lit("not attempted")).alias("reason"))
+    if sitemap is None:
+        return gaps
+    missing = sitemap.select("url").join(discovered.select("url"), "url", "left_anti")
+    return gaps.unionByName(missing.select("url", F.lit("in sitemap but left out before fetching").alias("reason")))
+
+
+def coverage(discovered: DataFrame, results: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
+    """V5 roll-up, one row: (discovered, fetched, percent) and, with a sitemap, (sitemap_urls,
+    sitemap_percent: how many of its urls were discovered). Repeated urls count each time they are
+    listed; a url fetched twice counts once."""
+    listed = discovered.agg(F.count(F.lit(1)).alias("discovered"))
+    hit = results.filter("status = 'ok'").agg(F.count_distinct("url").alias("fetched"))
+    both = listed.crossJoin(hit)  # one row each
+    if sitemap is not None:
+        known = sitemap.join(discovered.select("url").distinct().withColumn("known", F.lit(1)), "url", "left")
+        both = both.crossJoin(known.agg(F.count(F.lit(1)).alias("sitemap_urls"), F.count("known").alias("known")))  # one row
+    percent = _percent(F.col("fetched"), F.col("discovered"), 0.0).alias("percent")
+    if sitemap is None:
+        return both.select("discovered", "fetched", percent)
+    return both.select("discovered", "fetched", percent, "sitemap_urls", _percent(F.col("known"), F.col("sitemap_urls"), 100.0).alias("sitemap_percent"))
 
 
 def compressed(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import round_to
+from corpusmill.sources.discovery import resolve
 
 
 def even_sample(rows: DataFrame, size: int, order: str = "page_ord") -> DataFrame:
@@ -25,25 +26,37 @@ def strip_reduction(raw_bytes, clean_bytes):
     return F.when(raw_bytes == 0, F.lit(0.0)).otherwise(round_to((raw_bytes - clean_bytes) * 100.0 / raw_bytes, 1))
 
 
-def index_urls(texts: DataFrame) -> DataFrame:
-    """Link targets of an index, without .md and index files, once each."""
-    found = texts.select(F.explode(F.regexp_extract_all("body", F.lit(r"\]\((https?://[^)\s]+)\)"), F.lit(1))).alias("u"))
-    return found.select(F.regexp_replace("u", r"\.md$", "").alias("url")).filter(~F.col("url").rlike(r"/(llms(-full)?\.txt|index)$")).distinct()
+def index_urls(texts: DataFrame, origin: str) -> DataFrame:
+    """E4 over (body): link targets of an index, resolved against the site's root, once each; of a
+    page's .md variant the page itself; the bulk text files are left out."""
+    found = texts.select(F.explode(F.regexp_extract_all("body", F.lit(r"\]\(([^)\s]+)"), F.lit(1))).alias("u"))
+    whole = found.select(resolve(F.col("u"), F.lit(origin)).alias("url")).filter("url is not null")
+    page = F.regexp_replace("url", r"^([^?#]*)\.md(?=$|[?#])", "$1")
+    return whole.select(page.alias("url")).filter(~F.col("url").rlike(r"llms(-\w+)?\.txt$")).distinct()
 
 
 def grade(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Answers (arm, question_id, answer, error) against questions (id, all_of). An answer
     passes if every pattern matches; an unknown question or a runner error fails."""
     q = questions.select(F.col("id").alias("question_id"), "all_of")
-    both = answers.join(F.broadcast(q), "question_id", "left")
+    both = answers.join(q, "question_id", "left")  # a small key is broadcast by its size, a large one is not
     missing = F.filter("all_of", lambda p: ~F.regexp_like(F.coalesce(F.col("answer"), F.lit("")), F.concat(F.lit("(?i)"), p)))
     out = both.withColumn("missing", F.when(F.col("all_of").isNull(), F.array(F.lit("unknown question"))).otherwise(missing))
     return out.withColumn("passed", F.col("error").isNull() & (F.size("missing") == 0)).drop("all_of")
 
 
 def arm_summary(graded: DataFrame) -> DataFrame:
-    """Exact medians, three-place accuracy."""
+    """Exact medians, three-place accuracy; turns, web calls and models where the records have them."""
+    have = set(graded.columns)
+    more = []
+    if "num_turns" in have:
+        more.append(F.coalesce(F.sum("num_turns"), F.lit(0)).alias("total_turns"))
+    calls = [F.coalesce(F.col(c), F.lit(0)) for c in ("web_fetches", "web_searches") if c in have]
+    if calls:
+        more.append(F.sum(sum(calls[1:], calls[0])).alias("web_calls"))
+    if "models_used" in have:
+        more.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("models_used")))).alias("models"))
     return graded.groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"), round_to(F.count_if("passed") / F.count(F.lit(1)), 3).alias("accuracy"),
-        F.count("error").alias("errors"), F.sum("cost").alias("total_cost"), F.median("cost").alias("median_cost"), F.sum("duration_ms").alias("total_ms"), F.median("duration_ms").alias("median_ms"),
+        F.count("error").alias("errors"), F.sum("cost").alias("total_cost"), F.median("cost").alias("median_cost"), F.sum("duration_ms").alias("total_ms"), F.median("duration_ms").alias("median_ms"), *more,
     )

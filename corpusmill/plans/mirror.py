@@ -4,6 +4,7 @@ body); every stage is a plan over page_ord, and only the platform's name reaches
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ class RunConfig:
     platform: str | None = None
     condenser: object | None = None
     page_key: str = "url"
-    compat: bool = False
+    date: str = field(default_factory=lambda: datetime.now(timezone.utc).date().isoformat())
     extra: dict = field(default_factory=dict)
 
 
@@ -37,7 +38,7 @@ class Run:
     results: DataFrame
     cleanliness: DataFrame
     fidelity: DataFrame
-    compiled: DataFrame
+    corpus: assemble.Corpus
 
 
 def mirror(pages: DataFrame, config: RunConfig, resumed: bool = False) -> Run:
@@ -58,11 +59,9 @@ def mirror(pages: DataFrame, config: RunConfig, resumed: bool = False) -> Run:
         if config.condenser:
             clean = clean.drop("content").join(validate.condense(clean, config.condenser).select("page_ord", "content"), "page_ord")
     results = pages.select("page_ord", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")).join(flagged, "page_ord", "left")
-    unique = assemble.deduplicate_blocks(assemble.drop_duplicate_pages(clean.select("page_ord", "content")))
-    shifted = assemble.shift_headings(unique).select("page_ord", "content")
-    compiled = assemble.compile_corpus(clean.drop("content").join(shifted, "page_ord"), config.name, config.compat)
     text = clean.select("page_ord", "content")
-    return Run(platform, clean, results, validate.cleanliness(text), validate.fidelity(raw, text), compiled)
+    corpus = assemble.postcompiled(clean.select("page_ord", "url", "content"), config.name, config.url, config.date)
+    return Run(platform, clean, results, validate.cleanliness(text), validate.fidelity(raw, text), corpus)
 
 
 def fast_path(full_text: DataFrame, config: RunConfig) -> Run:
@@ -70,7 +69,7 @@ def fast_path(full_text: DataFrame, config: RunConfig) -> Run:
     page = full_text.select(F.lit(0).cast("long").alias("page_ord"), F.lit("index").alias("slug"), "url", F.col("body").alias("content"))
     text = page.select("page_ord", "content")
     results = page.select("page_ord", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), F.array().cast("array<string>").alias("flags"))
-    return Run(config.platform or "generic", page, results, validate.cleanliness(text), validate.fidelity(text, text), assemble.compile_corpus(page, config.name))
+    return Run(config.platform or "generic", page, results, validate.cleanliness(text), validate.fidelity(text, text), assemble.compiled(page, config.name, config.url, config.date))
 
 
 def resume(old_results: DataFrame, fetched: DataFrame, pages: DataFrame, config: RunConfig) -> tuple[DataFrame, Run]:
