@@ -32,31 +32,38 @@ def resolve(href: Column, base: Column) -> Column:
     """The absolute address of a reference on a page of address base, without its fragment: host in
     lower case, dot segments gone, blanks escaped, a bare host with a slash. Null where it is none
     of http and https."""
-    ref = F.regexp_replace(F.replace(F.btrim(href), F.lit(" "), F.lit("%20")), "#.*$", "")
-    whole = r"^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
-    scheme, host = F.lower(F.regexp_extract(base, "(?i)" + whole, 1)), F.regexp_extract(base, "(?i)" + whole, 2)
-    path, query = F.regexp_extract(base, "(?i)" + whole, 3), F.regexp_extract(base, "(?i)" + whole, 4)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    full = (
-        F.when(ref.rlike("(?i)^https?://"), ref)
-        .when(ref.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(scheme, F.lit("://"), host, ref))
-        .when(ref == "", F.concat(scheme, F.lit("://"), host, path, query))
-        .when(ref.startswith("?"), F.concat(scheme, F.lit("://"), host, path, ref))
-        .otherwise(F.concat(scheme, F.lit("://"), host, folder, ref))
-    )
-    part = lambda k: F.regexp_extract(full, "(?i)" + whole, k)
-    clean = _clean_path(part(3))
-    made = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(part(3) == "", "/").otherwise(clean), part(4))
-    return F.when(part(2) != "", made)
+    whole = r"(?i)^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    bare = F.regexp_replace(F.replace(F.btrim(href), F.lit(" "), F.lit("%20")), "#.*$", "")
+
+    def joined(x: Column) -> Column:
+        ref, scheme, host, path, query = (x[k] for k in ("ref", "scheme", "host", "path", "query"))
+        folder = F.regexp_replace(path, "[^/]*$", "")
+        return (
+            F.when(ref.rlike("(?i)^https?://"), ref)
+            .when(ref.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+            .when(ref.startswith("/"), F.concat(scheme, F.lit("://"), host, ref))
+            .when(ref == "", F.concat(scheme, F.lit("://"), host, path, query))
+            .when(ref.startswith("?"), F.concat(scheme, F.lit("://"), host, path, ref))
+            .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", "/").otherwise(folder), ref))
+        )
+
+    def tidy(full: Column) -> Column:
+        scheme, host, path, query = (F.regexp_extract(full, whole, k) for k in (1, 2, 3, 4))
+        made = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.when(path == "", "/").otherwise(_clean_path(path)), query)
+        return F.when(host != "", made)
+
+    # a step on a one-element array each, so that none is worked out more than once
+    parts = [F.regexp_extract(base, whole, k).alias(n) for k, n in ((2, "host"), (3, "path"), (4, "query"))]
+    one = F.array(F.struct(bare.alias("ref"), F.lower(F.regexp_extract(base, whole, 1)).alias("scheme"), *parts))
+    return F.element_at(F.transform(F.transform(one, joined), tidy), 1)
 
 
 def filter_urls(urls: DataFrame, base: str, lang: str = "en", exclude: tuple[str, ...] = (), most: int = 0) -> DataFrame:
     """S11 over (url_ord, url): same host, no other language's segment, no excluded segment, the
     first of each, at most `most` (0: all)."""
-    made = urls.select("url_ord", resolve(F.col("url"), F.lit(base)).alias("url"))
+    # the generator keeps the address from being worked out once for each use below
+    made = urls.select("url_ord", F.explode(F.array(resolve(F.col("url"), F.lit(base)))).alias("url"))
     host, path = F.try_parse_url("url", F.lit("HOST")), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
     segments = F.array_remove(F.split(path, "/"), "")
     other = [x for x in LANGUAGES if x != lang.lower()]
