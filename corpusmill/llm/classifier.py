@@ -7,7 +7,10 @@ labelled rows outside the held-out fold take part. What reaches the driver is bo
 the features (FEATURES squared) and a histogram of BINS scores.
 
 Null or empty texts have statistics of zero and a score like any other. Labels that are null are
-left out; if an id is labelled twice the larger label counts. Without labels every score is 0.5."""
+left out; if an id is labelled twice the larger label counts. Without labels every score is 0.5.
+Rows that repeat an id are scored each, and train each under the id's label; a null id is not held
+out. An empty table gives no rows. Only id and text are read, so that other columns and their names
+do not matter."""
 
 from __future__ import annotations
 

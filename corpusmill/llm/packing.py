@@ -6,13 +6,16 @@ the histogram by non-negative least squares and rounded down. Each pattern is th
 exact lengths, its last document by best fit; what is left is packed best-fit decreasing. All of
 this works on counts of equal lengths, so its cost does not follow the number of documents. The
 result is a table of runs per length; each piece finds its place from its rank among the pieces of
-its length, ranks being counted in salted groups so that no length is one task's work.
+its length, ranks being counted in groups of some GROUP pieces, so that no length is one task's work.
 
 Null text is an empty text: the closing id alone. Null ids and repeated rows are pieces like any
-other. An empty table gives no rows."""
+other; pieces of equal length are interchangeable, and of those that tie in id and number too any
+takes the next place. An empty table gives no rows. Only id and text are read, so that other
+columns and their names do not matter."""
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,7 +34,8 @@ from corpusmill.llm.encoding import WordIds
 SEQUENCE = 4096
 CLASS = 64
 END_ID = 1
-SALTS = 32
+#: Pieces of one length that are ranked in one group; longer lists of a length are salted apart.
+GROUP = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -217,8 +221,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, with the sequence it lies in and its offset there."""
     cut = materialize(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), id_col, text_col), "pack-pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    # at most SEQUENCE x SALTS rows reach the driver
+    # at most SEQUENCE rows, then as many and one for each GROUP pieces, reach the driver
+    salts = [1] * (SEQUENCE + 1)
+    for r in cut.groupBy("length").count().collect():
+        salts[r["length"]] = -(-r["count"] // GROUP)
+    of_length = F.get(F.from_json(F.lit(json.dumps(salts)), "array<int>"), F.col("length").cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), of_length).cast("int"))
     cells = salted.groupBy("length", "salt").count().orderBy("length", "salt").collect()
     starts, counts = [], {}
     for r in cells:
