@@ -234,6 +234,30 @@ def test_packing_round_trip(docs, none):
             part = ids[4096 * k : 4096 * (k + 1)]
             assert (r.piece, r.start, r.length, r.ids_crc32) == (k, 4096 * k, len(part), zlib.crc32(part.tobytes()))
     assert packing.pack(none).count() == 0
+    assert len(places) <= best_fit(sorted((r.length for r in rows), reverse=True))
+
+
+def best_fit(lengths, size=4096):
+    """How many sequences best-fit decreasing takes."""
+    left = []
+    for n in lengths:
+        fits = [k for k, room in enumerate(left) if room >= n]
+        if fits:
+            left[min(fits, key=lambda k: left[k])] -= n
+        else:
+            left.append(size - n)
+    return len(left)
+
+
+def test_packing_in_salted_groups(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 3)
+    texts = [(i, prose(5 + i % 4, 4000 + i % 7)) for i in range(200)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 200 and all(sum(n for _, n in x) == max(o + n for o, n in x) <= 4096 and len({o for o, _ in x}) == len(x) for x in at.values())
+    assert len(at) <= best_fit(sorted((r.length for r in rows), reverse=True))
 
 
 def test_nnls_solves():
@@ -417,6 +441,123 @@ def test_warc_payloads_are_decoded_and_headers_kept():
     assert [x["warc_type"] for x in warc.derive(source(b"\x89PNG", "Content-Type: image/png"))] == ["metadata"]
 
 
+def brute_quality(texts):
+    """Ids of the texts that the rules keep, EM in plain loops over documents."""
+    from math import exp, log
+
+    found = {i: quality_rules.stats(t) for i, t in texts.items()}
+    cast = {i: quality_rules.votes(s) for i, s in found.items() if len((texts[i] or "").split()) >= 50 and 100 * s.n_repeat_words <= 50 * s.n_words}
+    rules, k = range(len(quality_rules.RULES)), quality_rules.PRIOR_VOTES
+    rate = {True: [1 - quality_rules.PRIOR_GOOD for _ in rules], False: [quality_rules.PRIOR_BAD for _ in rules]}
+    share, post = quality_rules.PRIOR_SHARE, {}
+    for _ in range(200):
+        for i, v in cast.items():
+            odds = log(share / (1 - share))
+            for r in rules:
+                g, b = rate[True][r], rate[False][r]
+                odds += log(g / b) if v[r] < 0 else log((1 - g) / (1 - b)) if v[r] > 0 else 0
+            post[i] = 1 / (1 + exp(-max(-60, min(60, odds))))
+        share = (sum(post.values()) + k * quality_rules.PRIOR_SHARE) / (len(post) + k)
+        for good, prior in ((True, 1 - quality_rules.PRIOR_GOOD), (False, quality_rules.PRIOR_BAD)):
+            w = {i: p if good else 1 - p for i, p in post.items()}
+            rate[good] = [(sum(w[i] for i, v in cast.items() if v[r] < 0) + k * prior) / (sum(w[i] for i, v in cast.items() if v[r]) + k) for r in rules]
+    return {i for i, p in post.items() if p >= 0.5}
+
+
+def brute_simhash(texts):
+    prints = {}
+    for i, t in texts.items():
+        w = (t or "").translate(str.maketrans(simhash.AZ, simhash.AZ.lower())).encode().split()
+        hs = [xxhash.xxh64_intdigest(x, 42) for x in ([a + b" " + b for a, b in zip(w, w[1:])] or w[:1])]
+        prints[i] = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs))
+    group = {i: i for i in prints}
+    for _ in prints:
+        for i, a in prints.items():
+            for j, b in prints.items():
+                if (a ^ b).bit_count() <= 6:
+                    group[i] = group[j] = min(group[i], group[j])
+    return {i for i, g in group.items() if g == i}
+
+
+def brute_cut(texts):
+    """Texts without the words of 50-word runs that an earlier text has."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        words = texts[i].split()
+        low = [x.lower() for x in words]
+        runs = [tuple(low[k : k + 50]) for k in range(len(low) - 49)]
+        gone = {x for k, r in enumerate(runs) if r in seen for x in range(k, k + 50)}
+        seen |= set(runs)
+        if kept := [x for k, x in enumerate(words) if k not in gone]:
+            out[i] = " ".join(kept)
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from corpusmill.llm.common import materialize
+
+    shared, item = prose(64, 3000), prose(30, 3001)
+    texts = {i: prose(120 + i % 50, 3100 + i) for i in range(40)}
+    texts |= {40: texts[3], 41: texts[3].upper(), 42: texts[5] + " tail", 43: prose(30, 3200), 44: None, 45: "", 46: "same words again " * 40}
+    texts |= {47 + k: " ".join(w + "###" for w in prose(90, 3300 + k).split()) for k in range(12)}
+    texts |= {60 + k: " ".join([prose(70 + k, 3400 + k), shared, prose(60, 3500 + k)]) for k in range(5)}
+    texts |= {70 + k: " ".join([prose(60, 3600 + k), item, prose(60, 3700 + k)]) for k in range(3)} | {80: shared + " " + prose(40, 3800)}
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [item, "", None, prose(25, 3900)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    df, now, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), texts, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = materialize(stage(spark, df, str(tmp_path)), "test-stage")
+        got = {r.doc_id: r for r in df.collect()}
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"] and len(got) == df.count()
+        if name == "quality_rules":
+            now = {i: texts[i] for i in brute_quality(texts)}
+        elif name == "near_duplicates":
+            now = {i: now[i] for i in brute_simhash(now)}
+        elif name == "substring_dedup":
+            now = brute_cut(now)
+        else:
+            keys = sorted(now)
+            now = {i: now[i] for i in set(keys) - {keys[d] for d, _ in brute_contaminated([now[i] for i in keys], items)}}
+        assert {i: r.text.split() for i, r in got.items()} == {i: t.split() for i, t in now.items()}, name
+        assert all(r.lang == "en" and r.source == f"s{i % 3}" and r.n_chars == len(r.text) for i, r in got.items())
+        counts.append(len(got))
+    assert len(texts) > counts[0] > counts[1] >= counts[2] > counts[3] > 40
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in out) == sorted((i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, r in got.items() for ids in [[*t.encode(r.text, add_special_tokens=False).ids, 1]])
+    assert len({r.sequence_id for r in out}) <= best_fit(sorted((r.length for r in out), reverse=True))
+
+
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words long, corpusmill_gone long, seed long"
+    bench = spark.createDataFrame([(None, ITEM), (1, None)], "item_id long, text string")
+    odd = [(None, prose(80, 1)), (None, prose(80, 2)), (1, prose(80, 3)), (1, prose(80, 3)), (1, prose(90, 4)), (2, None), (3, ""), (4, prose(30000, 5)), (5, prose(60, 6) + " " + ITEM)]
+    for k, rows in enumerate(([], odd)):
+        d = f"{tmp_path}/{k}"
+        spark.createDataFrame([(i, t, None, None, None, 7, 7, 7) for i, t in rows], schema).write.parquet(f"{d}/documents.parquet")
+        bench.limit(0 if k == 0 else 2).write.parquet(f"{d}/benchmark.parquet")
+        df = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, d)
+            assert df.columns == [c.split()[0] for c in schema.split(", ")]
+            df = corpus_pipeline.materialize(df, "odd")
+        got = [r.doc_id for r in df.collect()]
+        assert got == [] if k == 0 else sorted(got, key=str) == [1, 1, 4, None, None] or sorted(got, key=str) == [1, 1, 1, 4, None, None]
+        assert corpus_pipeline.run(spark, d).count() >= len(got)
+        for f in (quality_rules.score_quality, simhash.near_duplicates, substring.repeated_passages, tokencount.token_counts, licenses.license_scan):
+            n = f(spark.read.parquet(f"{d}/documents.parquet")).count()
+            assert n == len(rows) or f in (substring.repeated_passages, licenses.license_scan)
+        labels = spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+        for f in (classifier.quality_scores, toxicity.toxicity_scores):
+            assert f(spark.read.parquet(f"{d}/documents.parquet"), labels).count() == len(rows)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
