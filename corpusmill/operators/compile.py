@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import slugify, title_of, token_estimate, trimmed, without_links
+from corpusmill.plans.store import kept
 
 
 def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
@@ -132,9 +133,9 @@ def postcompiled(pages: DataFrame, name: str, source: str, date: str) -> Corpus:
     titled = pages.select("page_ord", "url", without_links(title_of(F.col("content"), _slug_title(F.col("url")))).alias("title"), trimmed(F.col("content")).alias("content"))
     unique = drop_duplicate_pages(titled).select("page_ord", "content")
     shifted = shift_headings(deduplicate_blocks(unique))
-    kept = titled.drop("content").join(shifted, "page_ord")
+    stay = kept(titled.drop("content").join(shifted, "page_ord"), "postcompiled")
     removed = blocks(unique).agg(F.count(F.lit(1)).alias("all_blocks")).crossJoin(surviving_blocks(unique).agg(F.count(F.lit(1)).alias("kept_blocks")))  # one row each
-    out = kept.agg(F.count(F.lit(1)).alias("pages_out"), F.coalesce(F.sum("changed"), F.lit(0)).alias("headings_normalised"), F.coalesce(F.sum(token_estimate(F.col("content"))), F.lit(0)).alias("tokens"))
+    out = stay.agg(F.count(F.lit(1)).alias("pages_out"), F.coalesce(F.sum("changed"), F.lit(0)).alias("headings_normalised"), F.coalesce(F.sum(token_estimate(F.col("content"))), F.lit(0)).alias("tokens"))
     stats = titled.agg(F.count(F.lit(1)).alias("pages_in")).crossJoin(out).crossJoin(removed)  # one row each
     stats = stats.select("pages_in", "pages_out", (F.col("pages_in") - F.col("pages_out")).alias("pages_dropped"), (F.col("all_blocks") - F.col("kept_blocks")).alias("blocks_deduped"), "headings_normalised", "tokens")
     head = F.concat(
@@ -142,11 +143,11 @@ def postcompiled(pages: DataFrame, name: str, source: str, date: str) -> Corpus:
         F.lit(f" duplicate blocks removed -->\n\n> Source: {source} | {date}\n> "), F.col("pages_out").cast("string"), F.lit(" pages after deduplication\n\n## Table of Contents\n"),
     )
     segment = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+/+([^/?#]+)", 1)
-    made = contents(kept.select("page_ord", F.when(segment == "", "root").otherwise(segment).alias("segment"), "title"))
+    made = contents(stay.select("page_ord", F.when(segment == "", "root").otherwise(segment).alias("segment"), "title"))
     lines = contents_lines(made).select(F.lit(1).alias("part"), "group_first", "page_ord", F.col("line").alias("text"))
-    body = kept.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("group_first"), "page_ord", F.concat(F.lit("\n---\n\n## "), F.col("title"), F.lit("\n\n"), trimmed(F.col("content"))).alias("text"))
+    body = stay.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("group_first"), "page_ord", F.concat(F.lit("\n---\n\n## "), F.col("title"), F.lit("\n\n"), trimmed(F.col("content"))).alias("text"))
     first = stats.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("group_first"), F.lit(0).cast("long").alias("page_ord"), head.alias("text"))
-    return Corpus(kept, stats, first.unionByName(lines).unionByName(body))
+    return Corpus(stay, stats, first.unionByName(lines).unionByName(body))
 
 
 def write_sections(pages: DataFrame, path: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.plans.store import kept
+
 K1, B = 1.5, 0.75
 STOP = sorted("a also an and are as at be been being but by can could did do does for from had has have he i if in is it its may might my no not of on or she should so than that the then these they this those to was we were will with would you your".split(), key=lambda w: (len(w), w))
 
@@ -25,11 +27,14 @@ def query_terms(query: str) -> dict[str, int]:
 
 
 def bm25_scores(pages: DataFrame, query: str, key: str = "page_ord", text: str = "content") -> DataFrame:
-    """(key, score): a query's terms are few, so each page's counts of them are columns of one scan
-    and the corpus statistics one aggregate; nothing is exploded or shuffled but that aggregate."""
+    """(key, score): a query's terms are few, so each page's counts of them are columns of one scan,
+    kept as a narrow table from which both the corpus statistics and the scores come; no text is
+    shuffled or split twice."""
     terms = query_terms(query)
     words = pages.select(key, F.explode(F.array(tokens(F.col(text)))).alias("ws"))
-    counted = words.select(key, F.size("ws").alias("dl"), *[F.size(F.filter("ws", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    asked = F.filter("ws", lambda w: w.isin(list(terms))) if terms else F.array().cast("array<string>")
+    few = words.select(key, F.size("ws").alias("dl"), F.explode(F.array(asked)).alias("hits"))
+    counted = kept(few.select(key, "dl", *[F.size(F.filter("hits", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]), "bm25-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
@@ -49,8 +54,8 @@ def prune(pages: DataFrame, query: str, top: int, key: str = "page_ord", text: s
     is blank, top is 0, there are no more, or none scores."""
     if top <= 0 or not query_terms(query):
         return pages
-    scored = bm25_scores(pages, query, key, text)
+    scored = kept(bm25_scores(pages, query, key, text), "bm25-scores")
     best = scored.orderBy(F.desc("score"), key).limit(top)
     whole = scored.agg((F.coalesce(F.max("score"), F.lit(0.0)) <= 0).alias("all"))
-    kept = pages.join(best.select(key, F.lit(True).alias("in_top")), key, "left").crossJoin(F.broadcast(whole))
-    return kept.filter("in_top or all").select(*pages.columns)
+    joined = pages.join(best.select(key, F.lit(True).alias("in_top")), key, "left").crossJoin(F.broadcast(whole))
+    return joined.filter("in_top or all").select(*pages.columns)

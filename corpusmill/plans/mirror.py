@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import compile as assemble
 from corpusmill.operators import detect, flags, relevance, strip, validate
 from corpusmill.plans import state
+from corpusmill.plans.store import kept
 
 
 @dataclass
@@ -44,6 +45,7 @@ class Run:
 def mirror(pages: DataFrame, config: RunConfig, resumed: bool = False) -> Run:
     """pages (page_ord, slug, url, content) -> a run. resumed skips pruning and compression and
     detects the platform on the first five pages."""
+    pages = kept(pages, "pages")  # acquired and converted once for all that follows
     if config.platform:
         platform = config.platform
     else:
@@ -51,7 +53,7 @@ def mirror(pages: DataFrame, config: RunConfig, resumed: bool = False) -> Run:
         row = detect.detect_platform(seen, config.url).first()
         platform = row["platform"] if row else "generic"
     raw = pages.select("page_ord", "content")
-    cleaned = strip.strip_pages(raw, platform)
+    cleaned = kept(strip.strip_pages(raw, platform), "stripped")
     flagged = flags.page_flags(cleaned.select("page_ord", "content", "quality_gate_failed"), raw)
     clean = pages.drop("content").join(cleaned.select("page_ord", "content"), "page_ord")
     if not resumed:
@@ -59,6 +61,7 @@ def mirror(pages: DataFrame, config: RunConfig, resumed: bool = False) -> Run:
         if config.condenser:
             clean = clean.drop("content").join(validate.condense(clean, config.condenser).select("page_ord", "content"), "page_ord")
     results = pages.select("page_ord", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")).join(flagged, "page_ord", "left")
+    clean = kept(clean, "clean")
     text = clean.select("page_ord", "content")
     corpus = assemble.postcompiled(clean.select("page_ord", "url", "content"), config.name, config.url, config.date)
     return Run(platform, clean, results, validate.cleanliness(text), validate.fidelity(raw, text), corpus)
