@@ -53,3 +53,57 @@ def test_html_to_markdown():
     md, size = html.to_markdown(page)
     assert "# Title" in md and "[link](/x)" in md and "```py\na = 1\n```" in md and "- i\n- j" in md and "menu" not in md and size >= 300
     assert html.to_markdown("<p>short</p>")[0] is None and html.to_markdown("")[0] is None
+
+
+def steps(platform, lines):
+    for step in strip.REGISTRY[platform]:
+        lines = step(lines, [])
+    return lines
+
+
+def test_html_blocks_preamble_and_header():
+    assert clean(f"<nav>\nx\n</nav>\n# T\n{PROSE}\n<script>a</script>\nkept") == f"# T\n{PROSE}\nkept"
+    assert clean(f"# T\n{PROSE}\n<style>\nnever closed") == f"# T\n{PROSE}"
+    assert clean(f"# T\n{PROSE}\n  <nav>\nx") == f"# T\n{PROSE}\n  <nav>\nx"
+    assert clean(f"Title: a\nURL Source: b\nMarkdown Content:\n\n{PROSE}") == PROSE
+    assert clean(f"menu\nmore\n## Start\n{PROSE}") == f"## Start\n{PROSE}" and clean(f"menu\n### low\n{PROSE}").startswith("menu")
+
+
+def test_navigation_below_the_title():
+    nav = [f"[p{i}](u{i}) x" if i % 2 else f"* p{i}" for i in range(12)]
+    long = PROSE + " And it goes on."
+    shaped = [f"* [p{i}](u)" for i in range(5)]
+    assert clean("\n".join(["# T", *shaped, long])) == f"# T\n\n{long}"
+    assert clean("\n".join(["# T", *shaped[:4], long])) == "\n".join(["# T", *shaped[:4], long])
+    assert clean("\n".join(["# T", *shaped, "# T", long])) == f"# T\n{long}"
+    assert "short 5" in clean("\n".join(["# T", *[f"short {i}" for i in range(6)], *nav, long]))
+
+
+def test_link_clusters_stand_alone():
+    links = ["[a](b)", "[c](d)", "[e](f)"]
+    assert clean("\n".join(["# T", PROSE, "", *links, "", PROSE])) == f"# T\n{PROSE}\n\n\n{PROSE}"
+    assert "[a](b)" in clean("\n".join(["# T", PROSE, *links, "", PROSE])) and "[a](b)" in clean("\n".join(["# T", PROSE, "", *links[:2], "", PROSE]))
+    assert clean("\n".join(["# T", PROSE, *links])) == f"# T\n{PROSE}"
+
+
+def test_double_titles_and_blanks():
+    assert clean(f"# Guide | Site\n\n# Guide\n{PROSE}") == f"# Guide\n{PROSE}" and clean(f"# Guide - Site\n# Other\n{PROSE}").count("# ") == 2
+    assert clean(f"# T\n{PROSE}\n\n\n\n\n{PROSE}") == f"# T\n{PROSE}\n\n\n{PROSE}" and clean(f"# T\n{PROSE}\n\n\n{PROSE}") == f"# T\n{PROSE}\n\n\n{PROSE}"
+
+
+def test_platform_blocks_swallow_up_to_their_cap():
+    for platform, marker, inside, taken in (("docusaurus", "Next", "[a](b)", 5), ("readthedocs", "Versions", "[a](b)", 11), ("readthedocs", "Navigation", "* a", 21), ("mintlify", "Query Parameters", "string", 31), ("mkdocs", "Type to start searching", "", 6)):
+        for extra in (0, 1, 3):
+            got = steps(platform, ["# T", marker, *[inside] * (taken + extra), "end"])
+            assert got == ["# T", *[inside] * extra, "end"], (platform, extra, got)
+        assert steps(platform, ["# T", marker, inside, "text", inside, "end"])[-3:] == ["text", inside, "end"]
+
+
+def test_platform_markers():
+    assert steps("docusaurus", ["Next", *["[a](b)"] * 4, "Previous", *["[a](b)"] * 5, "x"]) == ["x"]
+    assert steps("docusaurus", ["Docs", "[a](b)", "Docs", "text", "[Edit this page](x)", "Built with Docusaurus"]) == ["[a](b)", "Docs", "text"]
+    assert steps("gitbook", ["On this page", "[a](b)", "* c", "", "text", "**Part**", "[a](b)", "", "[c](d)", "end", "**Bold**", "text", "Powered by GitBook", "Last modified 3d"]) == ["text", "end", "**Bold**", "text"]
+    assert steps("mkdocs", ["Search", "", "text"]) == ["Search", "", "text"] and steps("mkdocs", ["Search", "Initializing search", "", "text"]) == ["text"]
+    assert steps("mkdocs", ["Skip to content", "x", "Made with Material for MkDocs"]) == ["x"]
+    assert steps("mintlify", ["Was this page helpful?", "Body", "prose", "Powered by Mintlify", "Body", "", "required", "x"]) == ["Body", "prose", "x"]
+    assert steps("readthedocs", ["v: latest", "[stable](x)", "text", "Built with Sphinx using a theme provided by Read the Docs."]) == ["text"]
