@@ -12,6 +12,7 @@ from corpusmill.catalog import (
 from corpusmill.functions import text as T
 from corpusmill.operators import compile as assemble
 from corpusmill.operators import detect, flags, validate
+from corpusmill.plans import evidence, state
 from corpusmill.sources import discovery
 
 D_HUNDREDTH = "floor({a} * 100::DOUBLE / {b} * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE"
@@ -262,3 +263,35 @@ def acquired_pages(spark, sf):
     answers = pages.select("url", F.expr(D_METHOD.replace("page_id", "url_ord")).alias("method"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), body.alias("body"), F.lit(None).cast("string").alias("error"))
     broken = pages.filter("url like '%1'").select("url", F.lit("content-negotiation").alias("method"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("string").alias("body"), F.lit("timeout").alias("error"))
     return discovery.acquire(pages, answers.filter("method is not null").unionByName(broken)).drop("content")
+
+
+# Evidence and run state
+@query(f"SELECT string_agg(n || ' ' || reason, ', ' ORDER BY n DESC, reason) AS breakdown FROM (SELECT coalesce(error, 'Unknown error') AS reason, count(*) AS n FROM {D_ALL} WHERE status <> 'ok' GROUP BY 1)")
+def exclusion_breakdown(spark, sf):
+    return state.exclusion_breakdown(state.exclusions(_results(spark, sf)))
+
+
+RUNS = """SELECT regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) AS name, count(*) AS n, sum(octet_length({h})) AS bytes, sum(CASE WHEN page_id % 3 = 0 THEN octet_length({h}) ELSE 0 END) AS sample_bytes,
+ sum(CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END) AS sample_n, min(page_id) AS k FROM pages GROUP BY 1"""
+RUN = """SELECT name, concat('https://e.com/', name) AS url, CASE WHEN k % 2 = 0 THEN 'sitemap' ELSE 'llms-full-txt' END AS discovery_method, k % 2 = 1 AS fast_path, CASE WHEN k % 3 = 0 THEN n + 5 END AS pages_listed, n AS raw_files, bytes AS raw_bytes,
+ CASE WHEN k % 2 = 1 THEN 0 ELSE n END AS clean_files, CASE WHEN k % 2 = 1 THEN 0 ELSE bytes - n * 31 END AS clean_bytes, bytes - n * 100 AS compiled_bytes, CASE WHEN k % 4 = 0 THEN bytes - 1 END AS header_tokens, CASE WHEN k % 4 = 1 THEN bytes - 2 END AS run_tokens,
+ CASE WHEN k % 5 = 0 THEN 'q' END AS smart_query, 40 AS smart_top_n, CASE WHEN k % 7 = 0 THEN 0.5 WHEN k % 7 = 1 THEN NULL ELSE 12.5 END AS elapsed, n AS page_pool, sample_n AS html_n, sample_bytes AS html_bytes FROM r"""
+
+
+def _half_up(x: str, places: int) -> str:
+    return f"floor(({x}) * {10**places} + 0.5::DOUBLE) / {10**places}::DOUBLE"
+
+
+D_HTML_MEAN, D_MEAN = _half_up("html_bytes::DOUBLE / html_n", 0), _half_up("CASE WHEN fast_path THEN compiled_bytes::DOUBLE / page_pool ELSE clean_bytes::DOUBLE / clean_files END", 0)
+
+
+@query(
+    f"WITH r AS ({RUNS.format(h='encode(html)')}), m AS ({RUN}), s AS (SELECT *, coalesce(pages_listed, raw_files) AS pages, CASE WHEN html_n > 0 THEN {D_HTML_MEAN} END AS hm, {D_MEAN} AS mm FROM m) SELECT name, url, discovery_method, fast_path, pages AS pages_fetched, CAST(raw_bytes AS BIGINT) AS raw_bytes, CAST(clean_bytes AS BIGINT) AS clean_bytes, CAST(clean_files AS BIGINT) AS clean_files, CAST(compiled_bytes AS BIGINT) AS compiled_bytes, "
+    f"CAST(coalesce(header_tokens, run_tokens, floor(compiled_bytes::DOUBLE / 4 + 0.5::DOUBLE)) AS BIGINT) AS compiled_tokens_est, CASE WHEN header_tokens IS NOT NULL THEN 'header of the compiled file' WHEN run_tokens IS NOT NULL THEN 'run record' ELSE 'a quarter of the bytes' END AS compiled_tokens_source, smart_query, CASE WHEN smart_query IS NOT NULL THEN smart_top_n END AS smart_top_n, "
+    f"CASE WHEN NOT fast_path THEN {_half_up('(raw_bytes - clean_bytes) * 100.0::DOUBLE / raw_bytes', 1)} END AS pipeline_reduction_pct, CASE WHEN elapsed < 1 AND pages > 1 THEN NULL ELSE elapsed::DOUBLE END AS elapsed_s, CASE WHEN elapsed < 1 AND pages > 1 THEN 'left out: too short for its pages' END AS elapsed_note, page_pool AS sitemap_page_count, CAST(html_n AS BIGINT) AS html_sample_n, CAST(html_bytes AS BIGINT) AS html_sample_bytes, "
+    f"hm AS html_mean_bytes_per_page, mm AS markdown_mean_bytes_per_page, CASE WHEN hm > 0 AND mm > 0 THEN {_half_up('hm / mm', 1)} END AS front_door_ratio FROM s"
+)
+def corpus_sizes(spark, sf):
+    r = spark.sql(RUNS.format(h="html").replace("FROM pages", "FROM {pages}"), pages=table(spark, sf, "pages"))
+    runs = spark.sql(RUN.replace("FROM r", "FROM {r}"), r=r).withColumn("elapsed", F.col("elapsed").cast("double"))
+    return evidence.measure(runs)

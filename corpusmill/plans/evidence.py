@@ -22,6 +22,31 @@ def front_door(sizes: DataFrame) -> DataFrame:
     return m.select("source", "pages", round_to(F.col("html"), 0).alias("mean_html"), round_to(F.col("clean"), 0).alias("mean_clean"), round_to(F.when(F.col("clean") > 0, F.col("html") / F.col("clean")).otherwise(0.0), 1).alias("ratio"))
 
 
+def measure(runs: DataFrame) -> DataFrame:
+    """E2 over one row a run (name, url, discovery_method, fast_path, pages_listed, raw_files, raw_bytes,
+    clean_files, clean_bytes, compiled_bytes, header_tokens, run_tokens, smart_query, smart_top_n,
+    elapsed, page_pool, html_n, html_bytes): all the figures of a run. Tokens come from the compiled
+    file's header, else from the run, else from its bytes. A reduction compares raw and clean pages,
+    never the pruned text; the time of a run of many pages in under a second is none; a page's mean
+    divides by the pages that were mirrored, or by the site's where one file holds them all."""
+    c = F.col
+    slow = ~((c("elapsed") < 1) & (F.coalesce("pages_listed", "raw_files") > 1))
+    files = F.when(c("fast_path"), c("page_pool")).otherwise(c("clean_files"))
+    held = F.when(c("fast_path"), c("compiled_bytes")).otherwise(c("clean_bytes"))
+    counted = runs.select(
+        "name", "url", "discovery_method", "fast_path", F.coalesce("pages_listed", "raw_files").alias("pages_fetched"), "raw_bytes", "clean_bytes", "clean_files", "compiled_bytes",
+        F.coalesce(c("header_tokens"), c("run_tokens"), round_to(c("compiled_bytes") / 4, 0).cast("long")).alias("compiled_tokens_est"),
+        F.when(c("header_tokens").isNotNull(), "header of the compiled file").when(c("run_tokens").isNotNull(), "run record").otherwise("a quarter of the bytes").alias("compiled_tokens_source"),
+        "smart_query", F.when(c("smart_query").isNotNull(), c("smart_top_n")).alias("smart_top_n"),
+        F.when(~c("fast_path") & (c("raw_bytes") > 0) & (c("clean_bytes") > 0), strip_reduction(c("raw_bytes"), c("clean_bytes"))).alias("pipeline_reduction_pct"),
+        F.when(slow, c("elapsed")).alias("elapsed_s"), F.when(~slow, "left out: too short for its pages").alias("elapsed_note"), c("page_pool").alias("sitemap_page_count"),
+        c("html_n").alias("html_sample_n"), c("html_bytes").alias("html_sample_bytes"),
+        F.when(c("html_n") > 0, round_to(c("html_bytes") / c("html_n"), 0)).alias("html_mean_bytes_per_page"), F.when((files > 0) & (held > 0), round_to(held / files, 0)).alias("markdown_mean_bytes_per_page"),
+    )
+    mean = c("markdown_mean_bytes_per_page")
+    return counted.withColumn("front_door_ratio", F.when((c("html_mean_bytes_per_page") > 0) & (mean > 0), round_to(c("html_mean_bytes_per_page") / mean, 1)))
+
+
 def strip_reduction(raw_bytes, clean_bytes):
     return F.when(raw_bytes == 0, F.lit(0.0)).otherwise(round_to((raw_bytes - clean_bytes) * 100.0 / raw_bytes, 1))
 

@@ -38,6 +38,12 @@ def exclusions(results: DataFrame) -> DataFrame:
     return results.filter("status <> 'ok'").groupBy(F.coalesce("error", F.lit("Unknown error")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def exclusion_breakdown(reasons: DataFrame) -> DataFrame:
+    """M4 as text, one row: most frequent reason first, ties by name. Reasons are few kinds."""
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "reason")))
+    return reasons.agg(F.array_join(F.transform(listed, lambda x: F.concat((-x["m"]).cast("string"), F.lit(" "), x["reason"])), ", ").alias("breakdown"))
+
+
 def resume_state(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M5: (done, pending)."""
     return results.filter("status = 'ok'"), results.filter("status <> 'ok'")
