@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table tbody td tfoot th thead tr ul dt dd".split())
 CHROME_TAGS = frozenset("aside footer header nav script style".split())
 CHROME_CLASSES = frozenset("contents side-nav sidebar skip-link skip-to-content starlight-toc table-of-contents theme-doc-toc-desktop theme-doc-toc-mobile toc vp-doc-aside VPDocAside".split())
 MIN_TEXT = 300
@@ -115,45 +115,77 @@ def fence_language(pre: Node) -> str:
     pair = [x for x in (code, pre) if x]
 
     def of_class(n):
-        return next((c.split("-", 1)[1] for c in (n.attrs.get("class") or "").split() if c.startswith("language-")), "")
-
-    def of_data(n):
-        return n.attrs.get("data-language") or n.attrs.get("data-lang") or ""
+        found = re.search(r"(?:^|\s)language-([a-z0-9]+)", n.attrs.get("class") or "", re.I)
+        return found.group(1) if found else ""
 
     for n in pair:
         if of_class(n):
             return of_class(n)
     for n in reversed(pair):
-        if of_data(n):
-            return of_data(n)
+        if value := n.attrs.get("data-language") or n.attrs.get("data-lang"):
+            return value
     up = pre.up
     for _ in range(5):
         if up is None:
             break
-        if of_class(up) or of_data(up):
-            return of_class(up) or of_data(up)
+        if of_class(up):
+            return of_class(up)
         up = up.up
     return ""
 
 
-def _inline(n, raw: bool = False) -> str:
+#: Signs of a text that would read as markup: anywhere, and where a text begins.
+_SIGNS = re.compile(r"[\\*`\[\]_]")
+_STARTS = re.compile(r"^(?:-|\+ |=+|#{1,6} |~~~|>)")
+
+
+def _escaped(text: str) -> str:
+    text = _SIGNS.sub(lambda m: "\\" + m.group(0), text)
+    text = _STARTS.sub(lambda m: "\\" + m.group(0), text)
+    return re.sub(r"^(\d+)\. ", r"\1\\. ", text)
+
+
+def _code(inner: str) -> str:
+    inner = re.sub(r"\r?\n|\r", " ", inner)
+    if not inner:
+        return ""
+    ticks = "`"
+    while re.search(f"(?<!`){ticks}(?!`)", inner):
+        ticks += "`"
+    pad = " " if inner[0] == "`" or inner[-1] == "`" or (inner[0] == inner[-1] == " " and inner.strip()) else ""
+    return f"{ticks}{pad}{inner}{pad}{ticks}"
+
+
+def _titled(n: Node) -> str:
+    return f' "{n.attrs["title"]}"' if n.attrs.get("title") else ""
+
+
+def _around(inner: str, mark: str) -> str:
+    """The mark at the text, blanks outside it."""
+    text = inner.strip()
+    at = inner.index(text)
+    return f"{inner[:at]}{mark}{text}{mark}{inner[at + len(text):]}"
+
+
+def _inline(n) -> str:
     if isinstance(n, str):
-        return n if raw else re.sub(r"\s+", " ", n)
+        return _escaped(re.sub(r"[ \t\r\n]+", " ", n))
     if is_chrome(n):
         return ""
-    inner = "".join(_inline(k, raw) for k in n.kids)
     if n.tag == "br":
-        return "\n"
+        return "  \n"
     if n.tag == "img":
-        return f"![{n.attrs.get('alt') or ''}]({n.attrs.get('src') or ''})"
-    if n.tag == "a" and n.attrs.get("href") and inner.strip():
-        return f"[{inner.strip()}]({n.attrs['href']})"
+        alt = re.sub(r"(\n+\s*)+", "\n", n.attrs.get("alt") or "")
+        return f"![{alt}]({n.attrs['src']}{_titled(n)})" if n.attrs.get("src") else ""
     if n.tag == "code":
-        return f"`{inner}`" if inner else ""
+        return _code(_plain(n))
+    inner = "".join(_inline(k) for k in n.kids)
+    if n.tag == "a" and n.attrs.get("href") and inner.strip():
+        return f"[{inner.strip()}]({n.attrs['href']}{_titled(n)})"
     if n.tag in ("b", "strong") and inner.strip():
-        return f"**{inner.strip()}**"
+        return _around(inner, "**")
     if n.tag in ("i", "em") and inner.strip():
-        return f"_{inner.strip()}_"
+        return _around(inner, "_")
     return inner
 
 
@@ -162,7 +194,7 @@ def _blocks(n: Node, depth: int = 0) -> list[str]:
     line: list[str] = []
 
     def flush():
-        text = re.sub(r" *\n *", "\n", "".join(line)).strip()
+        text = re.sub(r"\n +", "\n", re.sub(r" {2,}(?!\n)", " ", "".join(line))).strip()
         if text:
             out.append(text)
         line.clear()
@@ -187,20 +219,19 @@ def _blocks(n: Node, depth: int = 0) -> list[str]:
             out.append(f"```{fence_language(k)}\n{code[:-1] if code.endswith(chr(10)) else code}\n```")
         elif k.tag in ("ul", "ol"):
             items = [x for x in k.kids if isinstance(x, Node) and x.tag == "li" and not is_chrome(x)]
+            start = int(k.attrs["start"]) if (k.attrs.get("start") or "").isdigit() else 1
             rows = []
-            for i, item in enumerate(items, 1):
-                mark = f"{i}. " if k.tag == "ol" else "- "
-                rows.append(mark + "\n".join(_blocks(item, depth + 1)).replace("\n", "\n" + " " * len(mark)))
-            out.append("\n".join(rows))
+            for i, item in enumerate(items, start):
+                inside = _blocks(item, depth + 1)
+                # a paragraph within an item keeps its distance, a list below the item's text does not
+                loose = any(isinstance(x, Node) and x.tag == "p" for x in item.kids)
+                rows.append((f"{i}.  " if k.tag == "ol" else "*   ") + ("\n\n" if loose else "\n").join(inside).replace("\n", "\n    "))
+            if rows:
+                out.append("\n".join(rows))
         elif k.tag == "blockquote":
             out.append("\n".join("> " + x for x in "\n\n".join(_blocks(k, depth)).split("\n")))
         elif k.tag == "hr":
-            out.append("---")
-        elif k.tag == "table":
-            rows = [["".join(_inline(c) for c in cell.kids).strip().replace("\n", " ") for cell in r.kids if isinstance(cell, Node) and cell.tag in ("td", "th")] for r in k.walk() if r.tag == "tr"]
-            rows = [r for r in rows if r]
-            if rows:
-                out.append("\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]]))
+            out.append("* * *")
         else:
             out += _blocks(k, depth)
     flush()

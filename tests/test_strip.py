@@ -51,7 +51,7 @@ def test_any_page_strips_without_growing(parts):
 def test_html_to_markdown():
     page = "<html><body><nav>menu</nav><article><h1>Title</h1><p>One<p>Two <b>bold</b> <a href='/x'>link</a><pre class='language-py'><code>a = 1\n</code></pre><ul><li>i<li>j</ul>" + f"<p>{PROSE * 5}</article></body></html>"
     md, size = html.to_markdown(page)
-    assert "# Title" in md and "[link](/x)" in md and "```py\na = 1\n```" in md and "- i\n- j" in md and "menu" not in md and size >= 300
+    assert "# Title" in md and "[link](/x)" in md and "```py\na = 1\n```" in md and "*   i\n*   j" in md and "menu" not in md and size >= 300
     assert html.to_markdown("<p>short</p>")[0] is None and html.to_markdown("")[0] is None
 
 
