@@ -47,13 +47,13 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_once(df: DataFrame, path: str, mode: str = "error") -> None:
+def write_once(df: DataFrame, path: str) -> None:
     """Write df as Parquet; its shuffle files, which nothing reads after that, go at once."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        df.write.mode(mode).parquet(path)
+        df.write.parquet(path)
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 

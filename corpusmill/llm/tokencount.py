@@ -6,9 +6,10 @@ encoded once each, at the document with the least id among those that share them
 are appended to the cache; documents then take their counts from it. Copies therefore cost a digest,
 and a second run over the same cache encodes nothing.
 
-The cache is a folder of the shared file system that the caller names and keeps; without one a new
-folder is made and the run encodes every distinct text. Only counts are stored, so appending the
-same digest twice (two runs at once) is harmless: the reader takes one.
+The cache is a folder of the shared file system that the caller names and keeps (shared_cache is a
+place for it); without one a new folder is made and the run encodes every distinct text. Each run
+adds a table of its own within it, so that runs at once do not disturb one another; only counts are
+stored, so a digest that two of them add is harmless: the reader takes one.
 
 Null texts are empty. Rows that repeat an id, or have none, are counted each. An empty table gives
 no rows and an empty cache. Only id and text are read; other columns and their names do not matter."""
@@ -16,6 +17,7 @@ no rows and an empty cache. Only id and text are read; other columns and their n
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh_path, map_batches, materialize, text_or_empty, write_once
+from corpusmill.llm.common import fresh_path, map_batches, materialize, shared_root, text_or_empty, write_once
 from corpusmill.llm.encoding import TokenCounts
 
 LIMIT = 512
@@ -35,9 +37,14 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:16]
 
 
+def shared_cache(spark) -> str:
+    """The place of a cache that all sessions over one shared folder use."""
+    return f"{shared_root(spark)}/corpusmill-token-cache"
+
+
 def read_cache(spark, cache: str) -> DataFrame:
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache)
+        return spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(cache)
     except Exception as e:  # a cache that no run has written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -68,6 +75,6 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * len(texts), pa.string()), pa.array(list(map(count, texts)), pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     fresh = texts.join(misses.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("at"), "left_semi").select("text")
-    write_once(map_batches(fresh, encode, CACHE_SCHEMA), cache, "append")
+    write_once(map_batches(fresh, encode, CACHE_SCHEMA), f"{cache}/{uuid.uuid4().hex}")
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return known.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -274,7 +274,9 @@ def test_token_counts_and_cache(spark, docs, none, tmp_path):
         for i, text in enumerate(TEXTS):
             n = len(t.encode(text or "", add_special_tokens=False).ids)
             assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((text or "").encode()), n > 512)
-    assert spark.read.parquet(cache).count() == len({t or "" for t in TEXTS})
+    assert tokencount.read_cache(spark, cache).count() == len({t or "" for t in TEXTS})
+    assert len([p for p in (tmp_path / "cache").iterdir() if p.is_dir()]) == 2  # the second run added nothing
+    assert tokencount.shared_cache(spark) == tokencount.shared_cache(spark)
     assert tokencount.token_counts(none).count() == 0
 
 
