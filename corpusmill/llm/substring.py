@@ -49,6 +49,8 @@ GAP, RUN = 3, 6
 MARGIN = 2 * PASSAGE
 #: Two keys of a near repeat's second grouping begin at least this many words apart.
 SPREAD = 12
+#: Bytes of text whose words are hashed at once.
+PART = 1 << 18
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
@@ -108,7 +110,12 @@ def word_hashes(texts: pa.Array, powers: _Powers) -> tuple[np.ndarray, np.ndarra
     ends[1:] = ink & np.concatenate([~ink[1:] | cut[1:size], [True]])
     ends[0] = False
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    h = powers.span(powers.sums(codes.astype(np.uint64) + np.uint64(1)), start, end)
+    h, at = np.empty(len(start), dtype=np.uint64), 0
+    while at < len(start):  # in parts, as each byte takes some tens of bytes here
+        stop = max(at + 1, int(np.searchsorted(start, start[at] + PART)))
+        a, b = int(start[at]), int(end[stop - 1])
+        h[at:stop] = powers.span(powers.sums(codes[a:b].astype(np.uint64) + np.uint64(1)), start[at:stop] - a, end[at:stop] - a)
+        at = stop
     return _mixed(h + (end - start).astype(np.uint64), 7), np.searchsorted(start, edges)
 
 

@@ -5,11 +5,14 @@ import gzip
 import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import classifier, decontaminate, licenses, packing, quality_rules, simhash, substring, tokencount, toxicity, warc
@@ -587,3 +590,35 @@ def test_simhash_zones_follow_the_number_of_classes():
     assert simhash.zones_for(1000) == 9 < simhash.zones_for(10**7) < simhash.zones_for(10**9)
     work = [simhash.comb(z, 6) * n * (simhash.CELL_COST + n * simhash.SAME_COUNT ** (32 * (z - 6) / z)) for n in (2**k for k in range(14, 34)) for z in [simhash.zones_for(n)]]
     assert all(b < 3 * a for a, b in zip(work, work[1:]))
+
+
+def test_intermediate_tables_are_shared_and_released(spark):
+    from corpusmill.llm import common
+
+    df = common.materialize(spark.range(10).repartition(3).groupBy((F.col("id") % 3).alias("k")).count(), "x")
+    path = common.session_folder(spark).removeprefix("file:")
+    assert df.count() == 3 and Path("/" + path.lstrip("/")).exists() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    kept = spark.conf.get("spark.checkpoint.dir")
+
+    class Cluster:
+        conf = type("conf", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("sc", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_root(Cluster)
+    spark.conf.set("spark.checkpoint.dir", f"{kept}/other")
+    common.materialize(spark.range(3).toDF("id"), "y")
+    other = Path("/" + common.session_folder(spark).removeprefix("file:").lstrip("/"))
+    assert other.exists()
+    common.release(spark)
+    assert not other.exists() and df.count() == 3
+    spark.conf.set("spark.checkpoint.dir", kept)
+
+
+def test_slices_bound_rows_and_bytes():
+    from corpusmill.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10] * 1000 + ["b" * common.SLICE_BYTES * 2] + ["c" * 1000] * 3000)], names=["t"])
+    made = list(common.slices(iter([batch, batch.slice(0, 0)])))
+    assert sum(b.num_rows for b in made) == batch.num_rows and all(b.num_rows <= common.SLICE_ROWS and (b.num_rows == 1 or b.nbytes <= 2 * common.SLICE_BYTES) for b in made)
+    assert [x for b in made for x in b.column(0).to_pylist()] == batch.column(0).to_pylist()
