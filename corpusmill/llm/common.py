@@ -16,6 +16,10 @@ SLICE_ROWS = 256
 SLICE_BYTES = 2 << 20
 
 
+#: Temporary folders of sessions on one machine that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -25,11 +29,12 @@ def shared_root(spark: SparkSession) -> str:
     machine (tests) may do without and gets a temporary folder; elsewhere its lack is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if application not in _LOCAL:
+            _LOCAL[application] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        root = _LOCAL[application]
     return root.rstrip("/")
 
 

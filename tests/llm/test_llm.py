@@ -595,24 +595,24 @@ def test_simhash_zones_follow_the_number_of_classes():
 def test_intermediate_tables_are_shared_and_released(spark):
     from corpusmill.llm import common
 
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
     df = common.materialize(spark.range(10).repartition(3).groupBy((F.col("id") % 3).alias("k")).count(), "x")
-    path = common.session_folder(spark).removeprefix("file:")
-    assert df.count() == 3 and Path("/" + path.lstrip("/")).exists() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
-    kept = spark.conf.get("spark.checkpoint.dir")
+    assert df.count() == 3 and spark.conf.get(key) == before
 
-    class Cluster:
-        conf = type("conf", (), {"get": staticmethod(lambda k, d=None: None)})
-        sparkContext = type("sc", (), {"master": "spark://host:7077"})
+    def session(master, root=None):
+        conf = type("conf", (), {"get": staticmethod(lambda k, d=None: root)})
+        return type("session", (), {"conf": conf, "sparkContext": type("sc", (), {"master": master, "applicationId": "app-1"}), "_jvm": spark._jvm, "_jsc": spark._jsc})
 
     with pytest.raises(RuntimeError):
-        common.shared_root(Cluster)
-    spark.conf.set("spark.checkpoint.dir", f"{kept}/other")
-    common.materialize(spark.range(3).toDF("id"), "y")
-    other = Path("/" + common.session_folder(spark).removeprefix("file:").lstrip("/"))
-    assert other.exists()
-    common.release(spark)
-    assert not other.exists() and df.count() == 3
-    spark.conf.set("spark.checkpoint.dir", kept)
+        common.shared_root(session("spark://host:7077"))
+    assert common.shared_root(session("spark://host:7077", "s3a://b/x/")) == "s3a://b/x" and common.shared_root(session("local[2]", "/tmp/given")) == "/tmp/given"
+    alone = session("local[2]")
+    folder = Path(common.shared_root(alone).removeprefix("file://"))
+    assert folder.exists() and common.shared_root(alone) == f"file://{folder}"
+    (folder / "corpusmill-app-1" / "t").mkdir(parents=True)
+    common.release(alone)
+    assert folder.exists() and not (folder / "corpusmill-app-1").exists() and df.count() == 3
 
 
 def test_slices_bound_rows_and_bytes():
