@@ -11,6 +11,10 @@ from corpusmill.functions.text import slugify, title_of, token_estimate, trimmed
 from corpusmill.plans.store import kept
 
 
+#: A line feed before a heading line, which opens a block.
+BLOCK_EDGE = r"\n(?=#{1,6}\s)"
+
+
 def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
     """K8: the first page of each trimmed content. The least order per digest is aggregated before
     it is joined, so a much-copied page is no single task's work."""
@@ -21,24 +25,35 @@ def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
 
 def blocks(pages: DataFrame) -> DataFrame:
     """K9: (page_ord, block, content); a heading line opens a block. A row's own expression."""
-    return pages.select("page_ord", F.posexplode(F.split("content", r"\n(?=#{1,6}\s)")).alias("block", "content"))
+    return pages.select("page_ord", F.posexplode(F.split("content", BLOCK_EDGE)).alias("block", "content"))
+
+
+def later_copies(pages: DataFrame, least_chars: int = 40) -> DataFrame:
+    """(page_ord, block) of blocks seen on an earlier page; short ones are not looked up. Only
+    digests are shuffled, and those that stand on one page alone do not come up."""
+    text = trimmed(F.col("content"))
+    found = blocks(pages).filter(F.length(text) >= least_chars).select("page_ord", "block", F.md5(text).alias("digest"))
+    first = found.groupBy("digest").agg(F.min("page_ord").alias("first"), F.max("page_ord").alias("last")).filter("first < last")
+    return found.join(first.select("digest", "first"), "digest").filter("first < page_ord").select("page_ord", "block")
 
 
-def surviving_blocks(pages: DataFrame, least_chars: int = 40) -> DataFrame:
-    """Blocks not seen on an earlier page; short ones always stay, and are not looked up. The
-    texts travel once, to be joined by page; only digests are shuffled for the look-up."""
-    found = blocks(pages).withColumn("digest", F.when(F.length(trimmed(F.col("content"))) >= least_chars, F.md5(trimmed(F.col("content")))))
-    first = found.filter("digest is not null").groupBy("digest").agg(F.min("page_ord").alias("first"), F.max("page_ord").alias("last")).filter("first < last")
-    # a page's later copies, named by page and block: digests that stand on one page alone do not come up
-    again = found.filter("digest is not null").select("digest", "page_ord", "block").join(first.select("digest", "first"), "digest").filter("first < page_ord").select("page_ord", "block")
-    return found.select("page_ord", "block", "content").join(again, ["page_ord", "block"], "left_anti")
+def surviving_blocks(pages: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(page_ord, block, content) of the blocks that are no later copies; short ones stay."""
+    copies = later_copies(pages) if copies is None else copies
+    gone = copies.groupBy("page_ord").agg(F.collect_set("block").alias("gone"))
+    kept_here = pages.join(gone, "page_ord", "left").select("page_ord", "gone", F.posexplode(F.split("content", BLOCK_EDGE)).alias("block", "content"))
+    return kept_here.filter("gone IS NULL OR NOT array_contains(gone, block)").select("page_ord", "block", "content")
 
 
-def deduplicate_blocks(pages: DataFrame, least_words: int = 10) -> DataFrame:
-    """Pages rebuilt from their surviving blocks; pages of under ten words go."""
-    rebuilt = surviving_blocks(pages).groupBy("page_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "content"))), lambda s: s["content"]), "\n").alias("content"))
-    kept = rebuilt.select("page_ord", trimmed(F.col("content")).alias("content"))
-    return kept.filter((F.col("content") != "") & (F.size(F.split("content", r"\s+")) >= least_words))
+def deduplicate_blocks(pages: DataFrame, least_words: int = 10, copies: DataFrame | None = None) -> DataFrame:
+    """Pages without the blocks that are later copies, an expression over the page's row once
+    the numbers of its copies are joined; pages of under ten words go."""
+    copies = later_copies(pages) if copies is None else copies
+    gone = copies.groupBy("page_ord").agg(F.collect_set("block").alias("gone"))
+    split = pages.join(gone, "page_ord", "left").select("page_ord", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.explode(F.array(F.split("content", BLOCK_EDGE))).alias("bs"))
+    left = F.filter("bs", lambda x, i: ~F.array_contains(F.col("gone"), i))
+    rebuilt = split.select("page_ord", trimmed(F.array_join(left, "\n")).alias("content"))
+    return rebuilt.filter((F.col("content") != "") & (F.size(F.split("content", r"\s+")) >= least_words))
 
 
 def shift_headings(pages: DataFrame, target: int = 3) -> DataFrame:
@@ -131,19 +146,20 @@ def postcompiled(pages: DataFrame, name: str, source: str, date: str) -> Corpus:
     """K7 to K14 over pages (page_ord, url, content): duplicate pages and blocks go, headings move
     below the pages' own, grouped contents, a header that says what went."""
     titled = pages.select("page_ord", "url", without_links(title_of(F.col("content"), _slug_title(F.col("url")))).alias("title"), trimmed(F.col("content")).alias("content"))
-    unique = drop_duplicate_pages(titled).select("page_ord", "content")
-    shifted = shift_headings(deduplicate_blocks(unique))
+    unique = kept(drop_duplicate_pages(titled).select("page_ord", "content"), "unique-pages")
+    copies = kept(later_copies(unique), "later-copies")
+    shifted = shift_headings(deduplicate_blocks(unique, copies=copies))
     stay = kept(titled.drop("content").join(shifted, "page_ord"), "postcompiled")
-    removed = blocks(unique).agg(F.count(F.lit(1)).alias("all_blocks")).crossJoin(surviving_blocks(unique).agg(F.count(F.lit(1)).alias("kept_blocks")))  # one row each
+    removed = copies.agg(F.count(F.lit(1)).alias("blocks_deduped"))  # one row
     out = stay.agg(F.count(F.lit(1)).alias("pages_out"), F.coalesce(F.sum("changed"), F.lit(0)).alias("headings_normalised"), F.coalesce(F.sum(token_estimate(F.col("content"))), F.lit(0)).alias("tokens"))
     stats = titled.agg(F.count(F.lit(1)).alias("pages_in")).crossJoin(out).crossJoin(removed)  # one row each
-    stats = stats.select("pages_in", "pages_out", (F.col("pages_in") - F.col("pages_out")).alias("pages_dropped"), (F.col("all_blocks") - F.col("kept_blocks")).alias("blocks_deduped"), "headings_normalised", "tokens")
+    stats = kept(stats.select("pages_in", "pages_out", (F.col("pages_in") - F.col("pages_out")).alias("pages_dropped"), "blocks_deduped", "headings_normalised", "tokens"), "corpus-stats")
     head = F.concat(
         F.lit(f"# {name} — Reference Documentation\n<!-- Assembled from "), F.col("pages_in").cast("string"), F.lit(" pages, "), F.col("pages_dropped").cast("string"), F.lit(" dropped as duplicates, "), F.col("blocks_deduped").cast("string"),
         F.lit(f" duplicate blocks removed -->\n\n> Source: {source} | {date}\n> "), F.col("pages_out").cast("string"), F.lit(" pages after deduplication\n\n## Table of Contents\n"),
     )
     segment = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+/+([^/?#]+)", 1)
-    made = contents(stay.select("page_ord", F.when(segment == "", "root").otherwise(segment).alias("segment"), "title"))
+    made = kept(contents(stay.select("page_ord", F.when(segment == "", "root").otherwise(segment).alias("segment"), "title")), "contents")
     lines = contents_lines(made).select(F.lit(1).alias("part"), "group_first", "page_ord", F.col("line").alias("text"))
     body = stay.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("group_first"), "page_ord", F.concat(F.lit("\n---\n\n## "), F.col("title"), F.lit("\n\n"), trimmed(F.col("content"))).alias("text"))
     first = stats.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("group_first"), F.lit(0).cast("long").alias("page_ord"), head.alias("text"))

@@ -16,7 +16,7 @@ def cleanliness(pages: DataFrame) -> DataFrame:
     linked = mask(lambda s: s["t"].rlike(r"^\[.*\]\(.*\)$"))
     lined = page_lines(pages, "content").withColumn("linked", linked.rlike("1{6}"))
     named = [F.when(F.col("content").contains(f), F.lit(f)) for f in FINGERPRINTS]
-    crumbs = F.when(F.regexp_like("content", F.lit("[^\\n]+? > [^\\n]+? > [^\\n]")), F.lit("breadcrumb sequence"))
+    crumbs = F.when(F.regexp_like("content", F.lit(r"(?md)^[^\n]+? > [^\n]+? > [^\n]")), F.lit("breadcrumb sequence"))
     found = lined.select("page_ord", F.array_compact(F.array(*named, crumbs, F.when(F.col("linked"), F.lit("consecutive link-only lines")))).alias("fingerprints"))
     return found.select("page_ord", F.size("fingerprints").cast("long").alias("noise_hits"), (F.size("fingerprints") > 3).alias("flagged"), "fingerprints")
 
