@@ -128,6 +128,21 @@ def test_decontamination_equals_brute_force(spark, docs, none, bench):
     assert {k for _, k in got} >= {0, 1, 2, 3, 4, 5, 6, 7, 10}
 
 
+def test_decontamination_equals_its_sql(spark):
+    import duckdb
+
+    from corpusmill.llm import queries
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op7_decontamination"])
+    names = [d[0] for d in want.description]
+    df = queries.op7_decontamination(spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(want.fetchall())
+
+
 def test_repeated_passages_are_covered_and_cut(docs, none):
     rows = substring.repeated_passages(docs).collect()
     spans = {}
