@@ -144,6 +144,12 @@ def contents_text(spark, sf):
     return assemble.contents_lines(assemble.contents(_titled(spark, sf)))
 
 
+@query(f"SELECT page_id, row_number() OVER (ORDER BY path NOT IN ('', 'index'), path, page_id) - 1 AS page_ord FROM (SELECT page_id, regexp_replace({D_PATH}, '^/|/$', '', 'g') AS path FROM pages)")
+def page_order(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("page_ord"), "page_id", "url")
+    return assemble.renumbered(pages).select("page_id", "page_ord")
+
+
 D_PAGES = f"(SELECT doc_id AS page_ord, trim({D_HEADED}, {WS}) AS content FROM documents)"
 D_POST = rf"""WITH u AS (SELECT min(page_ord) AS page_ord, any_value(content) AS content FROM {D_PAGES} GROUP BY md5(content)), l AS {d_lines('u')}, b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_ord ORDER BY pos) AS block FROM l),
  k AS (SELECT page_ord, block, string_agg(line, chr(10) ORDER BY pos) AS content FROM b GROUP BY ALL), h AS (SELECT *, length(trim(content, {WS})) >= 40 AS long, min(CASE WHEN length(trim(content, {WS})) >= 40 THEN page_ord END) OVER (PARTITION BY md5(trim(content, {WS}))) AS first FROM k), s AS (SELECT * FROM h WHERE NOT long OR first = page_ord),

@@ -81,6 +81,18 @@ def in_order(pages: DataFrame) -> DataFrame:
     return pages.withColumn("sort_key", F.struct((~path.isin("", "index")).alias("later"), F.collate(path, "UNICODE").alias("path"), F.col("page_ord")))
 
 
+def renumbered(pages: DataFrame) -> DataFrame:
+    """K4: pages with page_ord counted anew in order, from 0. The sort is distributed; what one task
+    sees of all pages is how many each sorted part has."""
+    placed = in_order(pages).select("page_ord", "sort_key").orderBy("sort_key").select("page_ord", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    placed = kept(placed, "page-order")
+    parts = placed.groupBy("part").agg(F.min("place").alias("base"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = placed.join(F.broadcast(parts.select("part", "base", before.alias("before"))), "part")  # a row a part
+    order = found.select("page_ord", (F.col("before") + F.col("place") - F.col("base")).alias("new_ord"))
+    return pages.join(order, "page_ord").withColumn("page_ord", F.col("new_ord")).drop("new_ord")
+
+
 def contents(pages: DataFrame) -> DataFrame:
     """K13 over (page_ord, segment, title): groups in the order first seen. A group of several pages,
     where there is more than one group, has one number and its pages are nested; other pages are

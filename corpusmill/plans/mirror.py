@@ -63,7 +63,8 @@ def mirror(pages: DataFrame, config: RunConfig, resumed: bool = False) -> Run:
     results = pages.select("page_ord", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")).join(flagged, "page_ord", "left")
     clean = kept(clean, "clean")
     text = clean.select("page_ord", "content")
-    corpus = assemble.postcompiled(clean.select("page_ord", "url", "content"), config.name, config.url, config.date)
+    ordered = kept(assemble.renumbered(clean.select("page_ord", "url", "content")), "ordered")
+    corpus = assemble.postcompiled(ordered, config.name, config.url, config.date)
     return Run(platform, clean, results, validate.cleanliness(text), validate.fidelity(raw, text), corpus)
 
 

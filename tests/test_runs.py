@@ -89,6 +89,7 @@ def test_the_whole_flow(spark, tmp_path):
     assert run.platform == "docusaurus" and run.corpus.stats.first().pages_out == 6
     text = run.corpus.text().first().content
     assert "Edit this page" not in text and "Built with" not in text and "\n6. [Page 5](#page-5)\n" in text and "### Page 3" in text
+    assert [text.index(f"## Page {k}\n") for k in (0, 2, 4, 1, 3, 5)] == sorted(text.index(f"## Page {k}\n") for k in range(6))  # by path
     run.corpus.write(f"file://{tmp_path}/out")
     written = "\n".join(r.value for f in sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")) for r in spark.read.text(f"file://{f}").collect())
     assert written == text
