@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusmill.llm.common import map_batches, materialize, text_or_empty
 from corpusmill.llm.textstats import Stats, stats
@@ -151,15 +152,20 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score_quality keeps, with all their columns. The texts are measured
-    a second time instead of being shuffled to meet their verdicts."""
-    fitted = posteriors(measure(docs, id_col, text_col))
-    good = frozenset(c for c, p in fitted.items() if p >= threshold)
+    """The documents that score_quality keeps, with all their columns. They are written once with
+    their vote pattern beside them, which the verdicts then select, so that each text is measured
+    once and none is shuffled."""
     position = docs.columns.index(text_col)
+    mark = "corpusmill_pattern" + "_" * sum(map(len, docs.columns))  # a name that is longer than any other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [stats(t) for t in batch.column(position).to_pylist()]
-            yield batch.filter(pa.array([not base_failed(r) and pattern(votes(r)) in good for r in rows], pa.bool_()))
-
-    return map_batches(docs, run, docs.schema)
+            marks = pa.array([None if base_failed(r) else pattern(votes(r)) for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, mark])
+
+    schema = StructType([*docs.schema.fields, StructField(mark, IntegerType())])
+    marked = materialize(map_batches(docs, run, schema), "quality-marked")
+    counts = marked.filter(F.col(mark).isNotNull()).groupBy(mark).count().collect()  # 3^10 rows at most
+    good = [c for c, p in fit({r[mark]: r["count"] for r in counts})[1].items() if p >= threshold]
+    return marked.filter(F.col(mark).isin(good)).drop(mark)
