@@ -607,6 +607,27 @@ def test_simhash_zones_follow_the_number_of_classes():
     assert all(b < 3 * a for a, b in zip(work, work[1:]))
 
 
+def link_plans(monkeypatch):
+    """The plans of the links of fingerprints, as they are about to be written."""
+    plans, write = [], simhash.materialize
+
+    def recorded(df, name):
+        if name == "simhash-links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", recorded)
+    return plans
+
+
+def test_pipeline_never_broadcasts_the_cells(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    plans = link_plans(monkeypatch)
+    dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_intermediate_tables_are_shared_and_released(spark):
     from corpusmill.llm import common
 
