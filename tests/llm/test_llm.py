@@ -628,6 +628,14 @@ def test_pipeline_never_broadcasts_the_cells(spark, docs, monkeypatch):
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
 
 
+def test_op9_never_broadcasts_the_cells(spark, monkeypatch):
+    from corpusmill.llm import queries
+
+    plans = link_plans(monkeypatch)
+    queries.QUERIES["op9_simhash"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_intermediate_tables_are_shared_and_released(spark):
     from corpusmill.llm import common
 
