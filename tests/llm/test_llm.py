@@ -636,6 +636,28 @@ def test_op9_never_broadcasts_the_cells(spark, monkeypatch):
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
 
 
+def test_op9_broadcasts_no_table(spark, monkeypatch):
+    from corpusmill.llm import components, queries
+
+    plans = []
+
+    def ran(df, name):
+        df.collect()
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    def recorded(module):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name: write(ran(df, name), name))
+
+    recorded(simhash)
+    recorded(components)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    ran(queries.QUERIES["op9_simhash"](spark, "/root/testdata/sf0.001"), "result")
+    assert {"simhash-links", "cc", "result"} <= {n for n, p in plans if "SortMergeJoin" in p}
+    assert [n for n, p in plans if "Broadcast" in p] == []
+
+
 def test_intermediate_tables_are_shared_and_released(spark):
     from corpusmill.llm import common
 
