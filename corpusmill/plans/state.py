@@ -49,9 +49,10 @@ def resume_state(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.filter("status = 'ok'"), results.filter("status <> 'ok'")
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """M6: rows of url fetched again are replaced."""
-    return old.join(new.select("url"), "url", "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
+    """M6: rows of url fetched again are replaced. Where several pages share an address, key names
+    what tells them apart, so that a page's result does not replace another's."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def inspect(results: DataFrame) -> DataFrame:
