@@ -252,8 +252,8 @@ def discovery_ladder(spark, sf):
 def index_lines(spark, sf):
     line = "CASE page_id % 3 WHEN 0 THEN concat('- [t ', page_id, '](', url, '): about') WHEN 1 THEN concat('-[t](', coalesce(try_parse_url(url, 'PATH'), ''), ')') ELSE concat('see ', url, ' there') END"
     pages = table(spark, sf, "pages").selectExpr("page_id", f"{line} AS body")
-    # a text a page, so that the line's place stands for the page
-    return discovery.index_links(pages.select(F.concat(F.repeat(F.lit("\n"), F.col("page_id").cast("int")), F.col("body")).alias("body")))
+    # a text a page, whose line stands at the page's number
+    return discovery.index_links(pages, "page_id")
 
 
 D_METHOD = "CASE page_id % 6 WHEN 0 THEN 'content-negotiation' WHEN 1 THEN 'md-suffix' WHEN 2 THEN 'rtd-sources' WHEN 3 THEN 'local-html' WHEN 4 THEN 'proxy' END"

@@ -111,12 +111,14 @@ def full_text(fetched: DataFrame, base: str) -> DataFrame:
     return _answers(fetched, full_text_addresses(base)).filter(is_full_text(F.col("body"))).orderBy("rank").limit(1).select("url", "body")
 
 
-def index_links(texts: DataFrame) -> DataFrame:
-    """(url_ord, url) by line: the bullet's linked address, else the first bare one."""
-    lines = texts.select(F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+def index_links(texts: DataFrame, first: str | None = None) -> DataFrame:
+    """(url_ord, url) by line: the bullet's linked address, else the first bare one. Lines count
+    from 0, or from the column first where texts are parts of a longer one."""
+    base = F.col(first) if first else F.lit(0)
+    lines = texts.select(base.cast("long").alias("base"), F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     bullet, bare = r"^-\s*\[.*?\]\((.*?)\)", r"https?://\S+"
     link = F.when(F.col("line").rlike(bullet), F.regexp_extract("line", bullet, 1)).when(F.col("line").rlike(bare), F.regexp_extract("line", bare, 0))
-    return lines.select(F.col("pos").cast("long").alias("url_ord"), link.alias("url")).filter("url is not null")
+    return lines.select((F.col("base") + F.col("pos")).alias("url_ord"), link.alias("url")).filter("url is not null")
 
 
 def listed_urls(fetched: DataFrame, base: str, **options) -> DataFrame:
