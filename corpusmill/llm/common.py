@@ -10,11 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A step over an Arrow batch takes at most so many rows and, unless one row has more, bytes of
-#: it. The JVM ends batches at spark.sql.execution.arrow.maxBytesPerBatch, so both sides are bounded.
-SLICE_ROWS = 256
-SLICE_BYTES = 2 << 20
-
+from corpusmill.functions.arrow import SLICE_BYTES, SLICE_ROWS, slices  # noqa: F401
 
 #: Temporary folders of sessions on one machine that name none, by application.
 _LOCAL: dict[str, str] = {}
@@ -70,21 +66,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in pieces of SLICE_ROWS rows and SLICE_BYTES bytes at most."""
-    for batch in batches:
-        at, n = 0, batch.num_rows
-        if not n:
-            continue
-        step = max(1, min(SLICE_ROWS, SLICE_BYTES * n // max(1, batch.nbytes)))
-        while at < n:
-            piece = batch.slice(at, step)
-            while piece.num_rows > 1 and piece.nbytes > 2 * SLICE_BYTES:
-                piece = piece.slice(0, piece.num_rows // 2)
-            yield piece
-            at += piece.num_rows
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(lambda batches: fn(slices(batches)), schema)
 

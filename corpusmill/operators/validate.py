@@ -93,8 +93,10 @@ def condense(pages: DataFrame, call, attempts: int = 1) -> DataFrame:
     unless the answer passes. Calls run per Arrow batch on the executors."""
     import pyarrow as pa
 
+    from corpusmill.functions.arrow import slices
+
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 try:
